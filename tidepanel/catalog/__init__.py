@@ -1,0 +1,12 @@
+"""Registered queries over the given tables."""
+
+from tidepanel.catalog import (  # noqa: F401
+    feature_queries,
+    panel_queries,
+    rank_queries,
+    split_queries,
+    universe_queries,
+)
+from tidepanel.catalog.registry import ENTRIES
+
+flagship = None

@@ -113,7 +113,7 @@ class Tables:
             .select("trade_date")
         )
         ranked = row_positions(
-            dense.withColumn("trailing", F.round(F.sum("amount").over(recent), 2)).join(
+            dense.withColumn("trailing", F.round(F.sum("amount").over(recent), 4)).join(
                 F.broadcast(month_starts), "trade_date"
             ),
             ["trade_date"],

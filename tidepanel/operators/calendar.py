@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tidepanel.plans.extent import attach
 from tidepanel.schemas import DataContractError
 
-# A calendar holds one row per trading day, so a window over all of it is small.
-BY_DAY = Window.orderBy("trade_date")
+
+def by_day():
+    """A calendar holds one row per trading day, so a window over it is small."""
+    return Window.orderBy("trade_date")
 
 
 def trading_calendar(days: DataFrame, open_flag: str | None = "is_open") -> DataFrame:
@@ -20,7 +22,7 @@ def trading_calendar(days: DataFrame, open_flag: str | None = "is_open") -> Data
         days.select(F.col("trade_date").cast("date").alias("trade_date"))
         .where(F.col("trade_date").isNotNull())
         .distinct()
-        .withColumn("pos", F.row_number().over(BY_DAY) - 1)
+        .withColumn("pos", F.row_number().over(by_day()) - 1)
     )
 
 

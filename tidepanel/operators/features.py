@@ -38,11 +38,14 @@ FEATURE_SETS = {
 
 ATR_DAYS = 14
 ATR_BLOCK = 1024
-ORDER = Window.partitionBy("code").orderBy("trade_date")
+
+
+def by_code():
+    return Window.partitionBy("code").orderBy("trade_date")
 
 
 def last(n: int):
-    return ORDER.rowsBetween(-(n - 1), 0)
+    return by_code().rowsBetween(-(n - 1), 0)
 
 
 def full(value: Column, over: Column, n: int) -> Column:
@@ -93,7 +96,7 @@ def wilder_atr(df: DataFrame, out: str = "atr_14") -> DataFrame:
     local = blocks.withColumn("_local", weighted * F.pow(F.lit(decay), offset))
     # One end value per finished block of the code, oldest first.
     ends = F.collect_list(F.when(offset == ATR_BLOCK - 1, F.col("_local"))).over(
-        ORDER.rowsBetween(Window.unboundedPreceding, -1)
+        by_code().rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = F.aggregate(
         ends, F.lit(0.0), lambda acc, x: acc * F.lit(decay**ATR_BLOCK) + x
@@ -115,8 +118,8 @@ def baseline24(panel: DataFrame, zero_fill: bool = True) -> DataFrame:
         "features",
     )
     close, high, low, volume = (F.col(c) for c in ("close", "high", "low", "volume"))
-    prior = F.lag("close").over(ORDER)
-    prior_volume = F.lag("volume").over(ORDER)
+    prior = F.lag("close").over(by_code())
+    prior_volume = F.lag("volume").over(by_code())
     staged = panel.withColumns(
         {
             "_ret": F.try_divide(close, prior) - 1.0,
@@ -125,8 +128,8 @@ def baseline24(panel: DataFrame, zero_fill: bool = True) -> DataFrame:
                 F.greatest(high - low, F.abs(high - prior), F.abs(low - prior)),
             ),
             "volume_change": F.try_divide(volume, prior_volume) - 1.0,
-            "_step": F.row_number().over(ORDER) - 1,
-            **{f"ROC{n}": eps_divide(F.lag("close", n).over(ORDER), close) for n in (5, 20, 60)},
+            "_step": F.row_number().over(by_code()) - 1,
+            **{f"ROC{n}": eps_divide(F.lag("close", n).over(by_code()), close) for n in (5, 20, 60)},
         }
     ).withColumn("_wret", F.abs(F.col("_ret")) * volume)
 

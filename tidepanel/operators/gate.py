@@ -117,6 +117,9 @@ def load_rule(table: DataFrame, low_quantile: float = 0.70, high_quantile: float
 
 
 def pressure(value: Column, low: float, high: float) -> Column:
+    """Place between both thresholds; a step where they coincide."""
+    if high == low:
+        return (value >= F.lit(low)).cast("double")
     return clamp((value - F.lit(low)) / F.lit(high - low))
 
 

@@ -16,13 +16,12 @@ from tidepanel.operators.features import LOW_VOLATILITY, MARKET4
 from tidepanel.plans.extent import attach
 from tidepanel.schemas import DataContractError, candidate, require_columns
 
-DAYS = Window.orderBy("trade_date")
 # Fixed values: +1 where a larger reading means more market stress.
 STRESS_DIRECTIONS = (-1.0, 1.0, -1.0, -1.0)
 
 
 def days(n: int):
-    return DAYS.rowsBetween(-(n - 1), 0)
+    return Window.orderBy("trade_date").rowsBetween(-(n - 1), 0)
 
 
 def full_days(agg, name: str, n: int) -> Column:
@@ -54,7 +53,9 @@ def rolling_state(daily: DataFrame, breadth_name: str, empty_return: float | Non
     grown = F.col("market_return")
     if empty_return is not None:
         grown = F.coalesce(grown, F.lit(empty_return))
-    to_date = DAYS.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    to_date = Window.orderBy("trade_date").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
     wealth = daily.withColumns(
         {"_wealth": F.product(1.0 + grown).over(to_date), "_growth": 1.0 + F.col("market_return")}
     )

@@ -12,7 +12,9 @@ from tidepanel.plans.extent import Extent, attach
 from tidepanel.plans.ordering import row_positions
 from tidepanel.schemas import PANEL_SCHEMA, PRICES, require_columns, require_none
 
-BY_CODE = Window.partitionBy("code").orderBy("trade_date")
+
+def by_code():
+    return Window.partitionBy("code").orderBy("trade_date")
 
 
 def causal_adjust(bars: DataFrame, key: str = "ts_code", check: bool = True) -> DataFrame:
@@ -47,7 +49,6 @@ def densify(adjusted: DataFrame, calendar: DataFrame) -> DataFrame:
     """
     last_pos = calendar_bounds(calendar)["last_pos"]
     # Window order must be the date: a bar off the calendar snaps onto a later day.
-    by_code = Window.partitionBy("code").orderBy("trade_date")
     on_calendar = attach(
         snap_positions(adjusted, "trade_date", calendar, "_snapped"),
         calendar,
@@ -57,11 +58,11 @@ def densify(adjusted: DataFrame, calendar: DataFrame) -> DataFrame:
     listed = on_calendar.withColumn(
         "_listed",
         F.first("_snapped").over(
-            by_code.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            by_code().rowsBetween(Window.unboundedPreceding, Window.currentRow)
         ),
     ).where(F.col("pos").isNotNull())
-    following = F.coalesce(F.lead("pos").over(by_code) - 1, F.lit(last_pos))
-    first_bar = F.lag("pos").over(by_code).isNull()
+    following = F.coalesce(F.lead("pos").over(by_code()) - 1, F.lit(last_pos))
+    first_bar = F.lag("pos").over(by_code()).isNull()
     spread = listed.withColumn(
         "_days",
         F.sequence(
@@ -99,7 +100,7 @@ def mark_members(panel: DataFrame, members: DataFrame) -> DataFrame:
 
 def derive(panel: DataFrame) -> DataFrame:
     """Volume in units, amount in currency, and moves against the prior close."""
-    prior = F.lag("close").over(BY_CODE)
+    prior = F.lag("close").over(by_code())
     moved = panel.withColumn("_prior", prior)
     return (
         moved.withColumns(
@@ -126,10 +127,10 @@ def pit_label(panel: DataFrame, entry: int = 1, exit_: int = 5) -> DataFrame:
     Rows are dense, so counting rows is counting calendar positions. An entry
     that cannot trade earns 0.0 and is flagged; no exit day leaves NULL.
     """
-    entry_open = F.lead("open", entry).over(BY_CODE)
-    entry_halted = F.lead("is_suspended", entry).over(BY_CODE)
-    exit_close = F.lead("close", exit_).over(BY_CODE)
-    in_reach = F.lead("pos", exit_).over(BY_CODE).isNotNull()
+    entry_open = F.lead("open", entry).over(by_code())
+    entry_halted = F.lead("is_suspended", entry).over(by_code())
+    exit_close = F.lead("close", exit_).over(by_code())
+    in_reach = F.lead("pos", exit_).over(by_code()).isNotNull()
     failed = F.coalesce(entry_halted, F.lit(False)) | entry_open.isNull() | (entry_open <= 0)
     return panel.withColumns(
         {
@@ -144,8 +145,8 @@ def pit_label(panel: DataFrame, entry: int = 1, exit_: int = 5) -> DataFrame:
 
 def contest_label(panel: DataFrame, out: str = "label") -> DataFrame:
     """Return from the open of a code's next record to that of its fifth."""
-    entry_open = F.lead("open", 1).over(BY_CODE)
-    exit_open = F.lead("open", 5).over(BY_CODE)
+    entry_open = F.lead("open", 1).over(by_code())
+    exit_open = F.lead("open", 5).over(by_code())
     return panel.withColumn(
         out, F.when(entry_open > 0, (exit_open - entry_open) / entry_open)
     )
@@ -157,8 +158,8 @@ def legacy_label(panel: DataFrame, drop_small_open: bool = True) -> DataFrame:
         return panel.withColumn("label", to_numeric(F.col("label")))
     leads = panel.withColumns(
         {
-            "_entry": F.lead("open", 1).over(BY_CODE),
-            "_exit": F.lead("open", 5).over(BY_CODE),
+            "_entry": F.lead("open", 1).over(by_code()),
+            "_exit": F.lead("open", 5).over(by_code()),
         }
     )
     if drop_small_open:

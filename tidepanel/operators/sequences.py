@@ -12,7 +12,9 @@ from tidepanel.plans.extent import Extent, attach
 from tidepanel.plans.ordering import row_positions
 from tidepanel.schemas import DataContractError, candidate, require_columns, require_none
 
-BY_CODE = Window.partitionBy("code").orderBy("trade_date")
+
+def by_code():
+    return Window.partitionBy("code").orderBy("trade_date")
 PAD_CHUNK = 4096
 
 
@@ -22,7 +24,7 @@ def sliding_windows(panel: DataFrame, features: Sequence[str], length: int) -> D
     Rows are counted, so a missing day does not drop a window. One window of
     fixed length is held per row.
     """
-    recent = BY_CODE.rowsBetween(-(length - 1), 0)
+    recent = by_code().rowsBetween(-(length - 1), 0)
     gathered = F.collect_list(F.array(*[F.col(f).cast("double") for f in features])).over(recent)
     return panel.withColumn("_w", gathered).withColumn(
         "seq", F.when(F.size("_w") == length, F.col("_w"))
@@ -180,9 +182,9 @@ def pad_and_mask(
     empty = chunks.select(
         "batch",
         "trade_date",
-        F.explode(F.sequence(low, F.least(low + PAD_CHUNK - 1, F.col("slots")))).cast("int").alias("slot"),
+        F.explode(F.sequence(low, F.least(low + PAD_CHUNK - 1, F.col("slots")))).alias("slot"),
     ).select(
-        "batch", "trade_date", "slot", F.lit(None).cast("string").alias("code"), blank.alias("seq"),
+        "batch", "trade_date", F.col("slot").cast("int").alias("slot"), F.lit(None).cast("string").alias("code"), blank.alias("seq"),
         F.lit(0.0).alias("target"), F.lit(0.0).alias("relevance"), F.lit(0).alias("mask"),
     )
     return real.unionByName(empty)

@@ -10,7 +10,9 @@ from tidepanel.functions.numeric import round_half_even_scaled, to_numeric
 from tidepanel.functions.text import parse_date
 from tidepanel.schemas import require_none
 
-BY_CODE = Window.partitionBy("code").orderBy("trade_date")
+
+def by_code():
+    return Window.partitionBy("code").orderBy("trade_date")
 
 
 def plan_fetch_gaps(universe: DataFrame, existing: DataFrame, start, end) -> DataFrame:
@@ -101,7 +103,7 @@ def normalise_bars_v1(raw: DataFrame) -> DataFrame:
 
 def normalise_bars_v2(raw: DataFrame) -> DataFrame:
     """Bars without a prior close: the last close, or the open on the first row."""
-    prior = F.coalesce(F.lag("close").over(BY_CODE), F.col("open"))
+    prior = F.coalesce(F.lag("close").over(by_code()), F.col("open"))
     bars = raw.withColumn("code", zfill(F.col("code"))).withColumn("_prior", prior)
     moved = F.col("close") - F.col("_prior")
     return bars.select(
