@@ -21,8 +21,9 @@ LENGTH = 10
 
 
 def split_extent(t: Tables) -> ex.Extent:
-    """An extent that makes every date count as too large for one task."""
-    return replace(t.extent, per_date=ex.DIRECT_WINDOW_ROWS + 1)
+    """An extent under which every date is too large for one task."""
+    per_bucket = -(-t.extent.dates * t.extent.per_date // 6)
+    return replace(t.extent, task_rows=1, bucket_rows=per_bucket)
 
 
 @checked("pit_ranks", "F1", "ranked", "SELECT * FROM ranked", KEYS, " ".join(BASE24))

@@ -257,7 +257,7 @@ def early_stop(log: DataFrame, patience: int = 10) -> DataFrame:
     waited = F.col("_n") - F.coalesce("_best_n", F.lit(0))
     flagged = traced.withColumn("_stop", waited >= patience)
     stops = flagged.withColumn(
-        "_stop_n", F.min(F.when("_stop", F.col("_n"))).over(Window.partitionBy("run"))
+        "_stop_n", F.min(F.when(F.col("_stop"), F.col("_n"))).over(Window.partitionBy("run"))
     )
     ran = stops.where(F.col("_stop_n").isNull() | (F.col("_n") <= F.col("_stop_n")))
     return ran.groupBy("run").agg(

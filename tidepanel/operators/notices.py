@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions import text as tx
 from tidepanel.functions.codes import normalize_ts_code, zfill
 from tidepanel.operators.calendar import snap_to_trading_day
+from tidepanel.plans.staging import stage
 from tidepanel.schemas import require_none
 
 # Table and sheet wording, headings, and index codes.
@@ -57,13 +58,14 @@ def _cells(row: Column) -> Column:
     return F.transform(inner, lambda c: F.trim(F.regexp_replace(c, r"<[^>]+>", " ")))
 
 
-def _table_codes(table: Column) -> Column:
-    """(code, action) pairs of one table; empty unless it is a change table.
-
-    Rows made of header cells only name the columns and hold no data.
-    """
+def _table_cells(table: Column) -> Column:
+    """Rows of cell texts. Rows of header cells only name columns and are left out."""
     rows = F.regexp_extract_all(table, F.lit(r"(?is)<tr[^>]*>.*?</tr>"), F.lit(0))
-    data = F.transform(F.filter(rows, lambda r: r.rlike(r"(?i)<td")), _cells)
+    return F.transform(F.filter(rows, lambda r: r.rlike(r"(?i)<td")), _cells)
+
+
+def _table_codes(data: Column) -> Column:
+    """(code, action) pairs of one table; empty unless it is a change table."""
     width = F.array_max(F.transform(data, lambda r: F.size(r)))
     words = F.array_join(F.flatten(data), " ")
     wanted = (width >= 4) & F.contains(words, F.lit(REMOVED)) & F.contains(words, F.lit(ADDED))
@@ -95,8 +97,10 @@ def _as_events(found: DataFrame, source: str) -> DataFrame:
 def html_table_events(notices: DataFrame, source: str = "announcement_id") -> DataFrame:
     """Codes of the first table that lists removals and additions."""
     tables = F.regexp_extract_all("content", F.lit(r"(?is)<table.*?</table>"), F.lit(0))
-    hits = F.filter(F.transform(tables, _table_codes), lambda t: F.size(t) > 0)
-    first = notices.withColumn("_hit", F.get(hits, F.lit(0)))
+    # The cells are a column of their own, so they are taken apart only once.
+    read = notices.withColumn("_cells", F.transform(tables, _table_cells))
+    hits = F.filter(F.transform("_cells", _table_codes), lambda t: F.size(t) > 0)
+    first = read.withColumn("_hit", F.get(hits, F.lit(0)))
     return _as_events(first.withColumn("e", F.explode("_hit")), source)
 
 
@@ -222,6 +226,7 @@ def announcement_events(
         else:
             seen = events.select("announcement_id").distinct()
             events = events.unionByName(level.join(seen, "announcement_id", "left_anti"))
+    events = stage(events, "notice-events")
     unread = parse_errors(
         dated.where(F.col("effective_date").isNull()).unionByName(usable, allowMissingColumns=True),
         events,

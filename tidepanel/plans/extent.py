@@ -20,10 +20,16 @@ DIRECT_WINDOW_ROWS = 1_000_000
 
 @dataclass(frozen=True)
 class Extent:
-    """Upper bounds: distinct dates, and rows on the fullest date."""
+    """Upper bounds: distinct dates, and rows on the fullest date.
+
+    A date of more than ``task_rows`` rows is split into buckets of about
+    ``bucket_rows``.
+    """
 
     dates: int
     per_date: int
+    task_rows: int = DIRECT_WINDOW_ROWS
+    bucket_rows: int = DIRECT_WINDOW_ROWS
 
     @classmethod
     def measure(cls, df: DataFrame, date: str = "trade_date") -> "Extent":
@@ -38,11 +44,11 @@ class Extent:
     @property
     def direct(self) -> bool:
         """True when one date fits a single window task."""
-        return self.per_date <= DIRECT_WINDOW_ROWS
+        return self.per_date <= self.task_rows
 
-    @property
-    def total(self) -> int:
-        return self.dates * self.per_date
+    def buckets(self, fan_out: int = 1) -> int:
+        """Ranges needed for ``fan_out`` groups per date."""
+        return max(2, -(-self.dates * self.per_date * fan_out // self.bucket_rows))
 
 
 def attach(

@@ -13,28 +13,23 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.plans.extent import DIRECT_WINDOW_ROWS, Extent, attach
+from tidepanel.plans.extent import Extent, attach
 from tidepanel.plans.staging import stage
 
 BUCKET = "_bucket"
 
 
-def _bucket_count(extent: Extent, fan_out: int, bucket_rows: int) -> int:
-    return max(2, -(-extent.total * fan_out // bucket_rows))
-
-
 def row_positions(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[Column],
     extent: Extent,
     out: str,
-    bucket_rows: int = DIRECT_WINDOW_ROWS,
 ) -> DataFrame:
     """1-based position of every row in its group; ``order`` must be total."""
     if extent.direct:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    buckets = _bucket_count(extent, 1, bucket_rows)
+    buckets = extent.buckets()
     placed = stage(
         df.repartitionByRange(buckets, *by, *order).withColumn(BUCKET, F.spark_partition_id()),
         "positions",
@@ -79,7 +74,6 @@ def prefix_sums(
     sums: Mapping[str, Column],
     extent: Extent,
     fan_out: int = 1,
-    bucket_rows: int = DIRECT_WINDOW_ROWS,
 ) -> DataFrame:
     """Sums over the rows of the group up to the row's value.
 
@@ -99,7 +93,7 @@ def prefix_sums(
     levels = df.where(known).groupBy(*by, value).agg(
         *[F.sum(amount).alias(f"{name}_tie") for name, amount in sums.items()]
     )
-    buckets = _bucket_count(extent, fan_out, bucket_rows)
+    buckets = extent.buckets(fan_out)
     placed = stage(
         levels.repartitionByRange(buckets, *by, value).withColumn(BUCKET, F.spark_partition_id()),
         "levels",
