@@ -54,12 +54,12 @@ def warmup_gating(t: Tables):
 
 @checked("market_daily", "E26", "daily", "SELECT * FROM daily", "trade_date", "market_return breadth_positive")
 def market_daily(t: Tables):
-    return mk.market_daily(t.panel)
+    return mk.market_daily(t.market_panel)
 
 
 @checked("market_state", "E27", "market", "SELECT * FROM market", "trade_date", " ".join(o.MARKET4))
 def market_state(t: Tables):
-    return mk.market4(t.panel)
+    return mk.market4(t.market_panel)
 
 
 @checked(

@@ -173,7 +173,7 @@ FROM (SELECT *, {PRIOR} AS pc,
 cte(
     "daily",
     "panel",
-    """SELECT trade_date, avg(pct_chg / 100.0) AS market_return,
+    """SELECT trade_date, avg(200.0 * (pct_chg / 100.0) / (2.0 + pct_chg / 100.0) / 100.0) AS market_return,
   avg(CASE WHEN pct_chg > 0 THEN 1.0 ELSE 0.0 END) AS breadth_positive
 FROM panel WHERE is_tradable AND pct_chg IS NOT NULL GROUP BY trade_date""",
 )

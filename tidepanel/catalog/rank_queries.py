@@ -159,7 +159,7 @@ def family_overlay(t: Tables):
 def regime(t: Tables):
     from tidepanel.operators import market
 
-    metrics = rr.regime_metrics(market.market_daily(t.panel))
+    metrics = rr.regime_metrics(market.market_daily(t.market_panel))
     return rr.regime_rule(metrics.where(F.col("vol20_hist_percentile").isNotNull()))
 
 

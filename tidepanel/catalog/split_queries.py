@@ -205,7 +205,7 @@ o.cte(
   wealth / ({o.day_roll('max', 'wealth', 60)}) - 1 AS market_drawdown_60,
   {o.day_roll('avg', 'breadth_positive', 20)} AS breadth_20
 FROM (SELECT *, 1 + market_return AS g, product(1 + coalesce(market_return, 0)) OVER (ORDER BY trade_date) AS wealth
-  FROM (SELECT trade_date, avg(pct_chg / 100.0) AS market_return, count(pct_chg) AS stocks_observed,
+  FROM (SELECT trade_date, avg(200.0 * (pct_chg / 100.0) / (2.0 + pct_chg / 100.0) / 100.0) AS market_return, count(pct_chg) AS stocks_observed,
     avg(CASE WHEN pct_chg > 0 THEN 1.0 ELSE 0.0 END) AS breadth_positive
     FROM panel WHERE is_member GROUP BY 1))""",
 )
@@ -230,7 +230,7 @@ FROM (SELECT trade_date, {', '.join(f'{e} AS {n}' for n, e in _tests.items())} F
 
 
 def state(t: Tables):
-    return rg.state_table(t.panel.where("is_member"))
+    return rg.state_table(t.market_panel.where("is_member"))
 
 
 def train_dates(t: Tables):

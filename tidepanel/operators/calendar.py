@@ -79,12 +79,15 @@ def calendar_bounds(calendar: DataFrame):
     ).first()
 
 
-def snap_positions(df: DataFrame, date: str, calendar: DataFrame, out: str) -> DataFrame:
+def snap_positions(
+    df: DataFrame, date: str, calendar: DataFrame, out: str, edge=None
+) -> DataFrame:
     """Ordinal of the first trading day on or after ``date``.
 
     Earlier than the calendar snaps to its first day; later than its end is NULL.
+    ``edge`` are the calendar's bounds where the caller has them.
     """
-    edge = calendar_bounds(calendar)
+    edge = edge or calendar_bounds(calendar)
     first, last = edge["first_day"], edge["last_day"]
     spine = day_spine(calendar).select(
         F.col("day").alias("_snap"), F.col("same_or_next_pos").alias(out)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,27 +12,32 @@ from tidepanel.plans.ordering import prefix_columns, prefix_sums, row_positions
 from tidepanel.schemas import candidate, require_columns, require_none
 
 
+INLINE_COLUMNS = 2
+
+
 def _rank_many(
     df: DataFrame,
     columns: Sequence[str],
     counted: Column,
-    formula,
+    formula: Callable[[str, Column, Column, Column], Column],
     extent: Extent,
     keys: Sequence[str] = ("trade_date", "code"),
 ) -> DataFrame:
     """Replace columns by a rank built from counts of values below and equal.
 
-    Small dates: one ordered window per column over one shuffle. Large dates:
-    the columns are unpivoted, all ranked in one distributed pass, and put back.
+    A column or two are ranked in place by one ordered window each. More are
+    unpivoted, ranked in a single pass over (date, column) groups, and put
+    back: one sort of narrow rows instead of one sort of wide rows per column,
+    and a date is spread over as many tasks as there are columns.
     """
-    if extent.direct:
+    if extent.direct and len(columns) <= INLINE_COLUMNS:
         return df.withColumns(
             {
-                name: formula(*prefix_columns(["trade_date"], F.col(name), counted))
+                name: formula(name, *prefix_columns(["trade_date"], F.col(name), counted))
                 for name in columns
             }
         )
-    pairs = ", ".join(f"'{name}', `{name}`" for name in columns)
+    pairs = ", ".join(f"{i}, `{name}`" for i, name in enumerate(columns))
     tall = df.select(
         *keys,
         counted.alias("_counted"),
@@ -46,9 +51,12 @@ def _rank_many(
         extent,
         fan_out=len(columns),
     )
-    value = formula(F.col("_n_le"), F.col("_n_tie"), F.col("_n_all"))
+    parts = (F.col("_n_le"), F.col("_n_tie"), F.col("_n_all"))
     wide = ranked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_name") == name, value)).alias(name) for name in columns]
+        *[
+            F.max(F.when(F.col("_name") == i, formula(name, *parts))).alias(name)
+            for i, name in enumerate(columns)
+        ]
     )
     return df.drop(*columns).join(wide, list(keys), "left")
 
@@ -64,17 +72,26 @@ def pit_rank(df: DataFrame, columns: Sequence[str], extent: Extent) -> DataFrame
         df,
         columns,
         candidate(df).cast("int"),
-        lambda le, tie, whole: F.try_divide(le, whole),
+        lambda name, le, tie, whole: F.try_divide(le, whole),
         extent,
     )
 
 
-def average_rank(df: DataFrame, columns: Sequence[str], extent: Extent, ascending: bool = True, pct: bool = True) -> DataFrame:
-    """Average-tie rank among the date's known values, as a share or a count."""
+def average_rank(
+    df: DataFrame,
+    columns: Sequence[str],
+    extent: Extent,
+    descending: Sequence[str] = (),
+    pct: bool = True,
+) -> DataFrame:
+    """Average-tie rank among the date's known values, as a share or a count.
+
+    Columns named in ``descending`` rank their largest value first.
+    """
 
-    def formula(le, tie, whole):
+    def formula(name, le, tie, whole):
         rank = le - (tie - 1) / F.lit(2.0)
-        if not ascending:
+        if name in descending:
             rank = whole + F.lit(1.0) - rank
         return rank / whole if pct else rank
 
@@ -100,7 +117,7 @@ def directional_rank(df: DataFrame, column: str, higher_is_better: bool, extent:
             F.col(column).isNull() | ~(F.abs(F.col(column)) < F.lit(float("inf"))),
             f"{column} has missing or non-finite values",
         )
-    return average_rank(df, [column], extent, ascending=higher_is_better)
+    return average_rank(df, [column], extent, () if higher_is_better else (column,))
 
 
 def score_order(df: DataFrame, extent: Extent, score: str = "score", out: str = "raw_rank") -> DataFrame:

@@ -47,10 +47,11 @@ def densify(adjusted: DataFrame, calendar: DataFrame) -> DataFrame:
     forward needs no join and no second pass: the added days take the bar's
     close as all four prices, its factor, and zero trading.
     """
-    last_pos = calendar_bounds(calendar)["last_pos"]
+    edge = calendar_bounds(calendar)
+    last_pos = edge["last_pos"]
     # Window order must be the date: a bar off the calendar snaps onto a later day.
     on_calendar = attach(
-        snap_positions(adjusted, "trade_date", calendar, "_snapped"),
+        snap_positions(adjusted, "trade_date", calendar, "_snapped", edge),
         calendar,
         ["trade_date"],
         last_pos + 1,

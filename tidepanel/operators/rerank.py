@@ -94,8 +94,7 @@ def family_overlay(candidates: DataFrame, extent: Extent, check: bool = True) ->
     copies = candidates.withColumns({f"_r_{f}": F.col(f) for f in FACTORS})
     low = [f"_r_{f}" for fs, up in FAMILIES.values() if not up for f in fs]
     high = [f"_r_{f}" for fs, up in FAMILIES.values() if up for f in fs]
-    ranked = average_rank(copies, low, extent, ascending=False)
-    ranked = average_rank(ranked, high, extent, ascending=True)
+    ranked = average_rank(copies, low + high, extent, descending=low)
     scored = ranked.withColumns(
         {
             family: mean_of([F.col(f"_r_{f}") for f in factors])

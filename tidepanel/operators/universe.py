@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions.codes import normalize_ts_code
 from tidepanel.operators.calendar import calendar_bounds, snap_positions
 from tidepanel.plans.extent import attach
+from tidepanel.plans.staging import stage
 from tidepanel.schemas import DataContractError, require_columns, require_none
 
 ANCHOR_SOURCE = "tushare_snapshot"  # fixed value: source tag of anchor members
@@ -154,9 +155,10 @@ def replay(spans: DataFrame, calendar: DataFrame) -> DataFrame:
     Span ends become calendar positions, and the positions in between are
     generated per span, so no range join is needed.
     """
-    placed = snap_positions(spans, "from_date", calendar, "pos_from")
-    placed = snap_positions(placed, "to_date", calendar, "pos_to")
-    days = calendar_bounds(calendar)["last_pos"] + 1
+    edge = calendar_bounds(calendar)
+    placed = snap_positions(spans, "from_date", calendar, "pos_from", edge)
+    placed = snap_positions(placed, "to_date", calendar, "pos_to", edge)
+    days = edge["last_pos"] + 1
     member_days = (
         placed.withColumn("pos_to", F.coalesce("pos_to", F.lit(days)))
         .where("pos_from < pos_to")
@@ -267,6 +269,8 @@ def build_membership(
 ) -> Membership:
     """Replay the events from the anchor snapshot and check every later one.
 
+    The daily relation and the findings are written once, since the checks,
+    the intervals and every later step read them.
     ``findings`` and ``breaks`` are exceptions only; a failing audit is meant
     to stop the build.
     """
@@ -279,17 +283,17 @@ def build_membership(
         .select("trade_date")
         .withColumn("pos", F.row_number().over(Window.orderBy("trade_date")) - 1)
     )
+    research = stage(research, "research-days")
     edge = research.agg(
         F.min("trade_date").alias("a"), F.max("trade_date").alias("b"), F.count("*").alias("n")
     ).first()
     if not edge["n"]:
         raise DataContractError("no trading day in the research range")
     anchor = anchor_date(snaps, edge["a"], expected)
-    findings = reconcile(snaps, changes, anchor, edge["b"])
+    findings = stage(reconcile(snaps, changes, anchor, edge["b"]), "findings")
     matched = matched_snapshot_dates(snaps, findings, anchor, edge["b"])
-    daily = as_of_weights(
-        replay(validity_spans(snaps, changes, anchor), research), snaps, matched, research
-    )
+    replayed = replay(validity_spans(snaps, changes, anchor), research)
+    daily = stage(as_of_weights(replayed, snaps, matched, research), "membership")
     breaks = count_breaks(daily, expected)
     counts = {
         "snapshot_dates": snaps.select("trade_date").distinct().count(),
