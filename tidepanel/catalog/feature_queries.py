@@ -71,7 +71,7 @@ def market_state(t: Tables):
     " ".join(o.MARKET4),
 )
 def panel_with_market_state(t: Tables):
-    return mk.add_market4(t.panel, dates=t.extent.dates)
+    return mk.add_market4(t.market_panel, dates=t.extent.dates)
 
 
 def train(t: Tables):

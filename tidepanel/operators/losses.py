@@ -22,6 +22,8 @@ from tidepanel.schemas import DataContractError
 TARGETS = ("ordinal_softmax", "normalized_rank_softmax", "percentile_target")
 SHORTCUT_FEATURES = (*LOW_VOLATILITY, "turnover")  # fixed value
 EXPANSION_TOLERANCE = 1e-13
+# One term is one running sum; 64 terms reach scores that spread over about 14.
+MAX_TERMS = 64
 
 
 def target_distribution(
@@ -136,7 +138,7 @@ def softplus_expansion(half_range: float) -> np.ndarray:
 
     Chebyshev polynomials on [-1, 1] in both arguments. The degree doubles
     until the last coefficients vanish at double precision; it grows with the
-    spread of the scores.
+    spread of the scores, and a spread that needs too many terms is refused.
     """
     size = 8
     while True:
@@ -150,7 +152,12 @@ def softplus_expansion(half_range: float) -> np.ndarray:
         if tail <= EXPANSION_TOLERANCE * max(1.0, half_range):
             keep = np.abs(coefficients).max(axis=0) > EXPANSION_TOLERANCE * 1e-2
             used = int(np.max(np.nonzero(keep)[0])) + 1
-            return coefficients[:used, :used]
+            if used <= MAX_TERMS:
+                return coefficients[:used, :used]
+        if size > 2 * MAX_TERMS:
+            raise DataContractError(
+                f"scores of a date spread over {2 * half_range:g}; divide them by a temperature"
+            )
         size *= 2
 
 
