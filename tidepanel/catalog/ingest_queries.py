@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.catalog import oracle as o
 from tidepanel.catalog.base import Tables
+from tidepanel.catalog.evaluation_queries import SUMMARY, summary_sql
 from tidepanel.catalog.registry import checked, query
 from tidepanel.functions import text as tx
 from tidepanel.functions.codes import zfill
@@ -191,7 +192,7 @@ def csv_row_counts(t: Tables):
     return rd.csv_row_counts(t.spark, path).agg(F.sum("rows").alias("rows"))
 
 
-@query("evaluation_files", "A10, K9")
+@checked("evaluation_files", "A10, K9", "evaluated", summary_sql(), "n_dates", SUMMARY)
 def evaluation_files(t: Tables):
     """The exported summary, read back from its JSON file."""
     path = scratch(t, "evaluation")
