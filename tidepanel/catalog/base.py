@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions.codes import normalize_ts_code, zfill
 from tidepanel.operators import calendar as cal
 from tidepanel.operators import crosssection, features, market, panel, universe
-from tidepanel.plans.extent import Extent
+from tidepanel.plans.extent import Extent, attach
 from tidepanel.plans.ordering import row_positions
 from tidepanel.plans.staging import stage
 
@@ -67,7 +67,8 @@ class Tables:
     def market_bars(self) -> DataFrame:
         """Bars with a stepwise factor and the share of a year's volume traded."""
         year = Window.partitionBy("code").orderBy("trade_date").rowsBetween(-51, 0)
-        return self.plain_bars.join(F.broadcast(self.calendar), "trade_date").select(
+        dated = attach(self.plain_bars, self.calendar, ["trade_date"], self.calendar.count(), "inner")
+        bars = dated.select(
             F.col("code").alias("ts_code"),
             "trade_date",
             "open",
@@ -79,6 +80,7 @@ class Tables:
             (F.col("vol") / F.sum("vol").over(year)).alias("turnover_rate"),
             (F.lit(1.0) + F.lit(0.25) * F.floor(F.col("pos") / 52)).alias("adj_factor"),
         )
+        return stage(bars, "market-bars")
 
     @cached_property
     def entities(self) -> int:
@@ -114,10 +116,9 @@ class Tables:
             .where((F.col("_first") == 1) & (F.col("pos") >= SNAPSHOT_WEEKS - 1))
             .select("trade_date")
         )
+        summed = dense.withColumn("trailing", F.round(F.sum("amount").over(recent), 4))
         ranked = row_positions(
-            dense.withColumn("trailing", F.round(F.sum("amount").over(recent), 4)).join(
-                F.broadcast(month_starts), "trade_date"
-            ),
+            attach(summed, month_starts, ["trade_date"], self.extent.dates, "inner"),
             ["trade_date"],
             [F.desc("trailing"), F.col("code")],
             self.extent,

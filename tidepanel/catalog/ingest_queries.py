@@ -18,6 +18,7 @@ from tidepanel.operators import notices as nt
 from tidepanel.operators.calendar import trading_calendar
 from tidepanel.operators.crosssection import top_k_portfolio
 from tidepanel.operators.evaluation import evaluate_daily, evaluation_summary
+from tidepanel.plans.extent import attach
 from tidepanel.plans.staging import shared_dir
 from tidepanel.sources import ingest as ig
 from tidepanel.sources import readers as rd
@@ -245,7 +246,7 @@ def result_file(t: Tables):
 def assembled_market(t: Tables):
     bars = t.market_bars
     daily = bars.drop("adj_factor", "turnover_rate")
-    halted = bars.join(F.broadcast(t.calendar), "trade_date").where(
+    halted = attach(bars, t.calendar, ["trade_date"], t.extent.dates, "inner").where(
         (F.col("pos") % 5 == 0) & (F.col("vol") > 60)
     )
     return ig.assemble_market(daily, bars, bars, halted.unionByName(halted))

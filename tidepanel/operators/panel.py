@@ -25,11 +25,11 @@ def causal_adjust(bars: DataFrame, key: str = "ts_code", check: bool = True) ->
     require_columns(bars, [key, "trade_date", *PRICES, "adj_factor"], "price adjustment")
     numbers = bars.withColumns({c: to_numeric(F.col(c)) for c in (*PRICES, "adj_factor")})
     if check:
-        broken = F.lit(False)
+        # One pass finds a value that cannot be parsed and a factor that is not positive.
+        broken = F.col("adj_factor") <= 0
         for c in (*PRICES, "adj_factor"):
             broken = broken | F.col(c).isNull()
-        require_none(numbers, broken, "price or factor cannot be parsed")
-        require_none(numbers, F.col("adj_factor") <= 0, "adj_factor must be positive")
+        require_none(numbers, broken, "unparsable price or non-positive adj_factor")
     base = F.first("adj_factor").over(
         Window.partitionBy(key)
         .orderBy("trade_date")
