@@ -109,7 +109,7 @@ def activity(t: Tables):
 
 
 LO, HI = date(2024, 1, 5), date(2024, 1, 20)
-EARLY, LATE = date(2024, 1, 3), date(2024, 1, 28)
+EARLY, LATE = date(2024, 1, 2), date(2024, 1, 28)
 
 
 @checked(
