@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import byte_bpe, common, minhash_dedup, quality_rules, secret_ledger, substring_dedup
+from tidepanel.llm import (
+    byte_bpe,
+    common,
+    html_template,
+    minhash_dedup,
+    quality_rules,
+    secret_ledger,
+    substring_dedup,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +36,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query()
+def op2_html_template(spark: SparkSession, folder: str) -> DataFrame:
+    return html_template.extract(table(spark, folder, "pages"))
+
+
+@query()
+def op3_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
+    manifest = warc.write(table(spark, folder, "pages"), common.new_path(spark, "warc"))
+    return warc.read(manifest).drop("payload", "url")
+
+
 @query(
     r"""
 WITH RECURSIVE words AS (
