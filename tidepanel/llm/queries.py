@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from tidepanel.llm import (
     byte_bpe,
     common,
+    decontamination,
     html_template,
     minhash_dedup,
     quality_rules,
     secret_ledger,
     substring_dedup,
+    toxicity,
     warc,
 )
 
@@ -36,6 +38,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query()
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontamination.judge(docs, table(spark, folder, "benchmark"))
+    return found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
+
+
 @query()
 def op2_html_template(spark: SparkSession, folder: str) -> DataFrame:
     return html_template.extract(table(spark, folder, "pages"))
@@ -72,6 +81,16 @@ def op4_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, folder, "documents"))
 
 
+@query()
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    index = toxicity.fit(docs, table(spark, folder, "labels").where(fold != 0))
+    held_out = F.coalesce(fold == 0, F.lit(False)).alias("held_out")
+    scored = toxicity.score(docs, index)
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
 @query(
     r"""
 WITH words AS (
