@@ -13,6 +13,7 @@ from tidepanel.llm import (
     decontamination,
     html_template,
     minhash_dedup,
+    pitman_yor,
     quality_rules,
     secret_ledger,
     substring_dedup,
@@ -81,6 +82,11 @@ def op4_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, folder, "documents"))
 
 
+@query()
+def op5_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
+    return pitman_yor.score(table(spark, folder, "documents"))
+
+
 @query()
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")

@@ -48,18 +48,6 @@ def _keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _small(values: np.ndarray) -> bytes:
-    """Non-negative numbers in the narrowest type; the reader tells it from the length."""
-    top = int(values.max()) if len(values) else 0
-    kind = np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.int64
-    return values.astype(kind).tobytes()
-
-
-def _wide(blob: bytes, n: int) -> np.ndarray:
-    kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[len(blob) // n] if n else np.uint8
-    return np.frombuffer(blob, kind).astype(np.int64)
-
-
 def _pack(part: int, ids, keys, doc, start, hashes=None, checks=None) -> tuple:
     """One row of occurrences, sorted by document and start."""
     new = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
@@ -69,16 +57,16 @@ def _pack(part: int, ids, keys, doc, start, hashes=None, checks=None) -> tuple:
     d = doc[new]
     none = b""
     return (
-        part, ids[d].tobytes(), keys[d].tobytes(), _small(counts),
-        none if hashes is None else hashes.tobytes(), none if checks is None else checks.tobytes(), _small(steps),
+        part, ids[d].tobytes(), keys[d].tobytes(), w.narrow(counts),
+        none if hashes is None else hashes.tobytes(), none if checks is None else checks.tobytes(), w.narrow(steps),
     )
 
 
 def _unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Id, key and start of every occurrence of a packed row."""
     ids, keys = np.frombuffer(row.docs, np.int64), np.frombuffer(row.keys, np.uint64)
-    counts = _wide(row.counts, len(ids))
-    steps = _wide(row.starts, int(counts.sum()))
+    counts = w.widen(row.counts, len(ids))
+    steps = w.widen(row.starts, int(counts.sum()))
     sums = np.cumsum(steps)
     first = np.cumsum(counts) - counts
     return np.repeat(ids, counts), np.repeat(keys, counts), sums - np.repeat(sums[first] - steps[first], counts)

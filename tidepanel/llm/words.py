@@ -19,6 +19,9 @@ import pyarrow as pa
 SEGMENT = 1 << 20
 _BASE, _ROLL = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 
+#: An odd number for mixing pairs of hashes.
+END_MARK = np.uint64(0xD6E8FEB86659FD93)
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -159,3 +162,15 @@ def runs(lo: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(counts)
     return np.arange(total, dtype=np.int64) + np.repeat(lo - (ends - counts), counts)
+
+
+def narrow(values: np.ndarray) -> bytes:
+    """Non-negative numbers in the narrowest type; widen() tells it from the length."""
+    top = int(values.max()) if len(values) else 0
+    kind = np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.int64
+    return values.astype(kind).tobytes()
+
+
+def widen(blob: bytes, n: int) -> np.ndarray:
+    kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[len(blob) // n] if n else np.uint8
+    return np.frombuffer(blob, kind).astype(np.int64)
