@@ -56,6 +56,8 @@ MORE = (
     Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{3,64}@"),
 )
 RULES = BASE + MORE
+#: Paths with findings are broadcast up to this many (about 20 MB), and shuffled beyond.
+BROADCAST_ROWS = 100_000
 MATCHES = "array<struct<piece:int,whole:int,part:int>>"
 
 
@@ -176,7 +178,7 @@ def redact(docs: DataFrame, paths: DataFrame, path_col: str = "doc_id", text_col
     """Replace every span by ``[kind]``; overlapping spans fall under the first.
 
     Texts without findings stay as they are. Rows are matched by path and address."""
-    found = paths.where(F.size("spans") > 0).select("path", "sha", "spans").distinct()
+    found = written(paths.where(F.size("spans") > 0).select("path", "sha", "spans").distinct(), "found")
     start = F.struct(F.lit(1).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
@@ -189,7 +191,8 @@ def redact(docs: DataFrame, paths: DataFrame, path_col: str = "doc_id", text_col
         return F.concat(acc["out"], F.col(text_col).substr(acc["at"].cast("int"), F.length(text_col)))
 
     same = docs[path_col].eqNullSafe(found["path"]) & (address(docs[text_col]) == found["sha"])
-    joined = docs.join(found.hint("shuffle_hash"), same, "left")
+    side = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found.hint("shuffle_hash")
+    joined = docs.join(side, same, "left")
     text = F.when(F.col("spans").isNotNull(), F.aggregate("spans", start, add, finish)).otherwise(F.col(text_col))
     kinds = docs.schema
     return joined.select(*[text.alias(text_col) if c == text_col else docs[c] for c in kinds.names])
