@@ -11,13 +11,18 @@ the stated odds:
   So values that only one set retains are left out, and so are sets with too few
   others: a passage or line that many documents share makes no candidates.
 * Two such sets meet in the lists of their rarest ``s - required + 1`` values.
-* Every member of a list is compared with its smallest document. Estimates over
-  the union's sketch filter the pairs; the exact similarity of whole sets confirms.
-  Confirmed links give first components.
-* Only lists that still hold several components are taken further. There, members
-  outside the list's largest component are compared with the members of other
-  components: short lists by a join, long ones in blocks of bounded size. So no
-  group is expanded into all pairs, and none is capped.
+* Every member of a list is compared with its most central document, the one whose
+  values are retained most often. Estimates over the union's sketch filter the
+  pairs; the exact similarity of whole sets confirms. Confirmed links give first
+  components.
+* Only lists that still hold several components are taken further. Members outside
+  the list's largest component are compared with those of other components. Short
+  lists do it by a join. Documents of long ones form families by the lists they
+  share. There, whole sets are used: shingles that no other set of the family has
+  bound the similarity that a set can reach at all, which leaves out most strays of
+  a large group of copies without comparing any pair. The others are compared in
+  blocks of bounded size, which return one exact link for each stray and component.
+  So no group is expanded into all pairs, and none is capped.
 
 Sets hold 64-bit hashes of shingles. Rows that share an id count as one document
 linked by any of their texts. A null id can't be named: its row is kept, with a
@@ -126,21 +131,58 @@ def _confirmed(batches: Iterator[pa.RecordBatch], size: int, percent: int):
         yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep))
 
 
-def _blocks(group: pd.DataFrame, k: int, t: float) -> pd.DataFrame:
-    """Pairs of a block of strays and a block of members with enough common values."""
+def _sets(batches: Iterator[pa.RecordBatch], size: int):
+    for batch in batches:
+        data, offs = w.texts_of(batch.column(1))
+        for lo, hi in w.chunks(offs, STRETCH):
+            sets = shingles(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], size)
+            cuts = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["doc", "whole"])
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of sets: all of ``a`` with all of ``b``."""
+    both = np.zeros((len(a), len(b)), np.float32)
+    values, place = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    cut = sum(map(len, a))
+    rows_a, rows_b = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b))
+    shared = np.flatnonzero((np.bincount(place[:cut], minlength=len(values)) > 0) & (np.bincount(place[cut:], minlength=len(values)) > 0))
+    column = np.full(len(values), -1)
+    column[shared] = np.arange(len(shared))
+    col_a, col_b = column[place[:cut]], column[place[cut:]]
+    for lo in range(0, len(shared), width):
+        tables = []
+        for rows, col, n in ((rows_a, col_a, len(a)), (rows_b, col_b, len(b))):
+            here = (col >= lo) & (col < lo + width)
+            table = np.zeros((n, min(width, len(shared) - lo)), np.float32)
+            table[rows[here], col[here] - lo] = 1
+            tables.append(table)
+        both += tables[0] @ tables[1].T
+    return both
+
+
+def _blocks(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """One link for each stray of a block and each other component that it meets."""
     q, m = group[group["stray"]], group[~group["stray"]]
+    none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
     if not len(q) or not len(m):
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    flat = np.concatenate([*q["sketch"], *m["sketch"]])
-    _, place = np.unique(flat, return_inverse=True)
-    rows = np.repeat(np.arange(len(q) + len(m)), [len(x) for x in [*q["sketch"], *m["sketch"]]])
-    table = np.zeros((len(q) + len(m), place.max() + 1), np.float32)
-    table[rows, place] = 1
-    both = table[: len(q)] @ table[len(q) :].T
-    need_q, need_m = ([required(len(x), k, t) for x in part["sketch"]] for part in (q, m))
-    i, j = np.nonzero((both >= np.maximum.outer(need_q, need_m)) & (q["component"].to_numpy()[:, None] != m["component"].to_numpy()[None, :]))
-    x, y = q["doc"].to_numpy()[i], m["doc"].to_numpy()[j]
-    return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
+        return none
+
+    def similar(common, n):
+        return 100 * common >= percent * (n - common)
+
+    sizes = np.add.outer(q["n"].to_numpy(), m["n"].to_numpy())
+    most = np.minimum.outer(q["shared"].to_numpy(), m["shared"].to_numpy())
+    able = similar(most, sizes) & (q["component"].to_numpy()[:, None] != m["component"].to_numpy()[None, :])
+    i, j = np.flatnonzero(able.any(axis=1)), np.flatnonzero(able.any(axis=0))
+    if not len(i):
+        return none
+    common = _common([q["whole"].iloc[x] for x in i], [m["whole"].iloc[x] for x in j]).astype(np.int64)
+    x, y = np.nonzero(able[np.ix_(i, j)] & similar(common, sizes[np.ix_(i, j)]))
+    found = pd.DataFrame({"x": q["doc"].to_numpy()[i[x]], "y": m["doc"].to_numpy()[j[y]], "component": m["component"].to_numpy()[j[y]]})
+    found = found.drop_duplicates(["x", "component"])
+    return pd.DataFrame({"a": found[["x", "y"]].min(axis=1), "b": found[["x", "y"]].max(axis=1)})
 
 
 class _Search:
@@ -159,10 +201,15 @@ class _Search:
         # The s - need + 1 rarest values, less those that only this set retains.
         met = values.join(shared, "v").groupBy("doc", "n_shingles", "s", "need").agg(F.sort_array(F.collect_list(F.struct("times", "v"))).alias("vs"))
         met = met.where(F.size("vs") >= F.col("need"))
-        heads = met.select("doc", F.explode(F.slice("vs", F.lit(1), F.size("vs") - F.col("need") + 1)).alias("x"))
-        self.postings = written(heads.select("doc", F.col("x.v").alias("v")), "postings")
+        weight = F.aggregate("vs", F.lit(0).cast("long"), lambda acc, x: acc + x["times"]).alias("weight")
+        heads = met.select("doc", weight, F.explode(F.slice("vs", F.lit(1), F.size("vs") - F.col("need") + 1)).alias("x"))
+        self.postings = written(heads.select("doc", "weight", F.col("x.v").alias("v")), "postings")
         self.sets = written(sets.join(self.postings.select("doc").distinct(), "doc", "left_semi").select("doc", "n_shingles", "sketch"), "sets")
 
+    def texts(self, ids: DataFrame, n: int) -> DataFrame:
+        """doc_id, text of ``n`` documents, found without shuffling texts while ``n`` is small."""
+        return self.docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a < b) whose whole sets are similar enough."""
         x = self.sets.select(F.col("doc").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
@@ -170,50 +217,73 @@ class _Search:
         near = (100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")) & _estimated(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), self.k, self.t)
         chosen = written(pairs.join(x, "a").join(y, "b").where(near).select("a", "b"), "pairs")
         ids = chosen.select(F.col("a").alias("doc_id")).union(chosen.select("b")).distinct()
-        few = chosen.count() * 2 <= BROADCAST_IDS
-        texts = self.docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+        texts = self.texts(ids, 2 * chosen.count())
         of_b = chosen.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         both = of_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
         size, percent = self.size, self.percent
         return written(both.mapInArrow(lambda r: _confirmed(r, size, percent), "a long, b long").distinct(), "links")
 
-    def to_least(self) -> DataFrame:
-        """Every member of a list with the list's smallest document."""
-        least = self.postings.groupBy("v").agg(F.min("doc").alias("a"), F.count("*").alias("n")).where("n > 1")
-        return self.postings.join(least, "v").where("a < doc").select("a", F.col("doc").alias("b")).distinct()
+    def to_centre(self) -> DataFrame:
+        """Every member of a list with the list's most central document."""
+        centre = self.postings.groupBy("v").agg(F.max(F.struct("weight", -F.col("doc"))).alias("top"), F.count("*").alias("n")).where("n > 1")
+        centre = centre.select("v", (-F.col("top.col2")).alias("c"))
+        pairs = self.postings.join(centre, "v").where("c <> doc")
+        return pairs.select(F.least("doc", "c").alias("a"), F.greatest("doc", "c").alias("b")).distinct()
 
-    def between(self, found: DataFrame) -> DataFrame:
-        """Pairs across the components that a list still holds, with at least one
-        outside the list's largest component."""
+    def mixed(self, found: DataFrame) -> DataFrame:
+        """v, doc, component, length and stray of the lists that hold several components;
+        a stray is outside the list's largest one."""
         members = self.postings.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        counted = members.groupBy("v", "component").agg(F.count("*").alias("n"))
-        lists = counted.groupBy("v").agg(
-            F.sum("n").alias("length"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")
-        ).where("parts > 1").select("v", "length", F.col("length").alias("all"), F.col("top.n").alias("inside"), F.col("top.component").alias("main"))
-        mixed = written(members.join(lists, "v").withColumn("stray", F.col("component") != F.col("main")), "mixed")
-        short = mixed.where(F.col("length") <= SHORT_LIST)
-        x = short.where("stray").select("v", F.col("doc").alias("x"), F.col("component").alias("cx"))
-        y = short.select("v", F.col("doc").alias("y"), F.col("component").alias("cy"))
-        pairs = x.join(y, "v").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        long = mixed.where(F.col("length") > SHORT_LIST).join(self.sets.select("doc", "sketch"), "doc")
-        n_q = F.ceil((F.col("length") - F.col("inside")) / BLOCK).cast("int")
-        n_m = F.ceil(F.col("length") / BLOCK).cast("int")
+        return self._strays(members.select("v", "doc", "component"), "v")
+
+    @staticmethod
+    def _strays(members: DataFrame, key: str) -> DataFrame:
+        counted = members.groupBy(key, "component").agg(F.count("*").alias("n"))
+        groups = counted.groupBy(key).agg(F.sum("n").alias("length"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts"))
+        groups = groups.where("parts > 1").select(key, "length", F.col("top.n").alias("inside"), F.col("top.component").alias("main"))
+        return members.join(groups, key).withColumn("stray", F.col("component") != F.col("main")).drop("main")
+
+    @staticmethod
+    def across(mixed: DataFrame) -> DataFrame:
+        """Pairs (a < b) of a stray and a member of another component of a short list."""
+        x = mixed.where("stray").select("v", F.col("doc").alias("x"), F.col("component").alias("cx"))
+        y = mixed.select("v", F.col("doc").alias("y"), F.col("component").alias("cy"))
+        pairs = x.join(y, "v").where("cx <> cy")
+        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    def within_families(self, long: DataFrame) -> DataFrame:
+        """Exact links of strays in the families that long lists form."""
+        hubs = long.groupBy("v").agg(F.min("doc").alias("hub"))
+        family = components(long.join(hubs, "v").select(F.col("doc").alias("a"), F.col("hub").alias("b")))
+        docs = written(long.select("doc", "component").distinct().join(family.select(F.col("node").alias("doc"), F.col("component").alias("family")), "doc"), "family")
+        size, percent = self.size, self.percent
+        texts = self.texts(docs.select(F.col("doc").alias("doc_id")), docs.count())
+        whole = written(docs.join(texts.mapInArrow(lambda r: _sets(r, size), "doc long, whole array<long>"), "doc").withColumn("n", F.size("whole")), "whole")
+        values = whole.select("family", "doc", F.explode("whole").alias("s"))
+        twice = values.groupBy("family", "s").agg(F.count("*").alias("times")).where("times > 1").drop("times")
+        shared = values.join(twice, ["family", "s"]).groupBy("doc").agg(F.count("*").alias("shared"))
+        able = whole.join(shared, "doc").where(100 * F.col("shared") >= percent * F.col("n"))
+        rows = written(self._strays(able, "family"), "able")
+        n_q, n_m = (F.ceil(x / BLOCK).cast("int") for x in (F.col("length") - F.col("inside"), F.col("length")))
         cell = F.pmod(F.xxhash64("doc"), F.lit(1 << 30)).cast("int")
-        strays = long.where("stray").select("v", (cell % n_q).alias("i"), F.explode(F.sequence(F.lit(0), n_m - 1)).alias("j"), "doc", "component", "stray", "sketch")
-        every = long.select("v", F.explode(F.sequence(F.lit(0), n_q - 1)).alias("i"), (cell % n_m).alias("j"), "doc", "component", F.lit(False).alias("stray"), "sketch")
-        k, t = self.k, self.t
-        blocks = strays.unionByName(every).groupBy("v", "i", "j").applyInPandas(lambda g: _blocks(g, k, t), "a long, b long")
-        return pairs.unionByName(blocks).distinct()
+        cols = ["doc", "component", "n", "shared", "whole"]
+        strays = rows.where("stray").select("family", (cell % n_q).alias("i"), F.explode(F.sequence(F.lit(0), n_m - 1)).alias("j"), "stray", *cols)
+        every = rows.select("family", F.explode(F.sequence(F.lit(0), n_q - 1)).alias("i"), (cell % n_m).alias("j"), F.lit(False).alias("stray"), *cols)
+        return written(strays.unionByName(every).groupBy("family", "i", "j").applyInPandas(lambda g: _blocks(g, percent), "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, size: int = 5, k: int = 64) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id that links
     of at least ``percent`` reach), kept (whether that is its own)."""
     search = _Search(docs, id_col, text_col, size, k, percent)
-    tried = written(search.to_least(), "tried")
+    tried = written(search.to_centre(), "tried")
     links = search.links(tried)
     found = written(components(links), "components")
-    more = search.links(search.between(found).join(tried, ["a", "b"], "left_anti"))
+    mixed = written(search.mixed(found), "mixed")
+    more = search.links(search.across(mixed.where(F.col("length") <= SHORT_LIST)).join(tried, ["a", "b"], "left_anti"))
+    long = mixed.where(F.col("length") > SHORT_LIST)
+    if long.head(1):
+        more = more.unionByName(search.within_families(long))
     if more.head(1):
         found = written(components(links.unionByName(more)), "components")
     named = search.first.join(found, F.col("doc") == F.col("node"), "left").select("print", F.coalesce("component", "doc").alias("component_id"))
