@@ -158,7 +158,7 @@ def brute(s, r, w, head):
     return weighted / n, total / n, headed / heads
 
 
-@pytest.mark.parametrize("spread", [0.3, 1.0])
+@pytest.mark.parametrize("spread", [0.3, 50.0])
 def test_pairwise_losses_against_all_pairs(spark, spread):
     rng = np.random.default_rng(5)
     s, y = rng.normal(size=60) * spread, rng.integers(0, 20, size=60) / 10
@@ -171,10 +171,14 @@ def test_pairwise_losses_against_all_pairs(spark, spread):
         assert (got.pairwise_loss, got.global_loss, got.head_loss) == pytest.approx(wanted, rel=1e-9)
 
 
-def test_wide_scores_are_refused():
-    assert len(ls.softplus_expansion(6.0)) <= ls.MAX_TERMS
-    with pytest.raises(DataContractError):
-        ls.softplus_expansion(80.0)
+def test_one_outlier_among_close_scores(spark):
+    s, y = np.append(np.linspace(-0.1, 0.1, 40), 1e6), np.arange(41) % 7 / 10
+    df = scores(spark, s, y)
+    for extent in both_ways(df):
+        rows = ls.top_weights(xs.relevance(df, extent), extent)
+        got, pdf = ls.pairwise_losses(rows, extent).first(), rows.toPandas()
+        wanted = brute(pdf.score.values, pdf.relevance.values, pdf.pair_weight.values, pdf.is_head.values)
+        assert (got.pairwise_loss, got.global_loss, got.head_loss) == pytest.approx(wanted, rel=1e-9)
 
 
 def test_pairwise_loss_without_pairs(spark):

@@ -177,7 +177,13 @@ class Tables:
     def features(self) -> DataFrame:
         """Panel with market state and the 24 features."""
         fed = features.baseline24(panel.contest_label(self.panel, "contest_label"))
-        return stage(market.add_market4(fed, self.market, self.extent.dates), "features")
+        joined = market.add_market4(fed, self.market, self.extent.dates)
+        return stage(features.fill_market(joined), "features")
+
+    @property
+    def market_filled(self) -> DataFrame:
+        """The market state as the features carry it: 0 in its warm-up."""
+        return features.fill_market(self.market)
 
     @cached_property
     def ranked(self) -> DataFrame:

@@ -15,6 +15,7 @@ from tidepanel.operators import evaluation as ev
 from tidepanel.operators import losses as ls
 from tidepanel.operators import scoring as so
 from tidepanel.operators import splits as sp
+from tidepanel.plans.extent import attach
 
 KEYS = "code trade_date"
 MIN = 10
@@ -183,7 +184,11 @@ def _target(kind: str) -> str:
     return f"SELECT *, m / sum(m) {_W} AS target_prob FROM (SELECT *, {_mass[kind]} AS m FROM weighted)"
 
 
-for _kind in ls.TARGETS:
+# Fixed values, written out here so that the SQL doesn't take them from the operators.
+_TARGETS = ("ordinal_softmax", "normalized_rank_softmax", "percentile_target")
+_SHORTCUT = (*o.LOW_VOL, "turnover")
+
+for _kind in _TARGETS:
 
     @checked(f"target_{_kind}", "K10", "weighted", _target(_kind), KEYS, "target_prob")
     def target(t: Tables, kind: str = _kind):
@@ -298,6 +303,44 @@ def pairwise_losses_split(t: Tables):
     return ls.pairwise_losses(weighted(t), split_extent(t))
 
 
+# Scores fifty times as wide, and one date with an outlier far beyond.
+_WIDE_DAY, _FAR = "2000-03-06", 1e5
+o.cte(
+    "wide",
+    "weighted",
+    f"""SELECT * REPLACE (CASE WHEN first_code = 1 AND trade_date = DATE '{_WIDE_DAY}' THEN {_FAR} ELSE score * 50 END AS score)
+FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY code) AS first_code FROM weighted)""",
+)
+o.cte(
+    "wide_pairs",
+    "wide",
+    f"""SELECT trade_date, hh, w, {_SP} AS loss FROM (
+SELECT a.trade_date, a.is_head AND NOT b.is_head AS hh, a.pair_weight + b.pair_weight AS w, b.score - a.score AS x
+FROM wide a JOIN wide b ON a.trade_date = b.trade_date AND a.relevance > b.relevance)""",
+)
+
+
+def wide_scores(t: Tables):
+    rows = weighted(t)
+    first = rows.groupBy("trade_date").agg(F.min("code").alias("_first"))
+    far = (F.col("code") == F.col("_first")) & (F.col("trade_date") == F.lit(_WIDE_DAY).cast("date"))
+    marked = attach(rows, first, ["trade_date"], t.extent.dates)
+    return marked.withColumn("score", F.when(far, F.lit(_FAR)).otherwise(F.col("score") * 50)).drop("_first")
+
+
+@checked(
+    "pairwise_losses_wide",
+    "K14, K15, K16",
+    "wide_pairs",
+    """SELECT trade_date, count(*) AS n_pairs, avg(loss * w) AS pairwise_loss, avg(loss) AS global_loss,
+  avg(loss) FILTER (WHERE hh) AS head_loss FROM wide_pairs GROUP BY 1""",
+    "trade_date n_pairs",
+    "pairwise_loss global_loss head_loss",
+)
+def pairwise_losses_wide(t: Tables):
+    return ls.pairwise_losses(wide_scores(t), t.extent)
+
+
 _corr = lambda x, y, eps: f"count(*) * covar_pop({x}, {y}) / greatest(count(*) * stddev_pop({x}) * stddev_pop({y}), {eps})"
 o.cte(
     "stability",
@@ -311,7 +354,7 @@ o.cte(
     "shortcut",
     "rel ranked",
     f"""SELECT trade_date, {_corr('score', 'idx', '1e-8')} AS shortcut_correlation FROM (
-SELECT r.trade_date, r.score, {o.mean([_z(c) for c in ls.SHORTCUT_FEATURES])} AS idx
+SELECT r.trade_date, r.score, {o.mean([_z(c) for c in _SHORTCUT])} AS idx
 FROM rel r JOIN ranked x USING (code, trade_date)) GROUP BY 1""",
 )
 

@@ -66,12 +66,13 @@ def market_state(t: Tables):
     "panel_with_market_state",
     "E28",
     "panel market",
-    "SELECT p.code, p.trade_date, m.* EXCLUDE (trade_date) FROM panel p LEFT JOIN market m USING (trade_date)",
+    "SELECT p.code, p.trade_date, " + ", ".join(f"coalesce(m.{c}, 0.0) AS {c}" for c in o.MARKET4)
+    + " FROM panel p LEFT JOIN market m USING (trade_date)",
     KEYS,
     " ".join(o.MARKET4),
 )
 def panel_with_market_state(t: Tables):
-    return mk.add_market4(t.market_panel, dates=t.extent.dates)
+    return ft.fill_market(mk.add_market4(t.market_panel, dates=t.extent.dates))
 
 
 def train(t: Tables):

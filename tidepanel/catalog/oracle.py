@@ -233,7 +233,7 @@ cte(
 cte(
     "featm",
     "features market",
-    "SELECT f.*, " + ", ".join(f"m.{c}" for c in MARKET4) + " FROM features f LEFT JOIN market m USING (trade_date)",
+    "SELECT f.*, " + ", ".join(f"coalesce(m.{c}, 0.0) AS {c}" for c in MARKET4) + " FROM features f LEFT JOIN market m USING (trade_date)",
 )
 
 
@@ -276,12 +276,17 @@ def component(i: int) -> str:
     return f"({c} - c_{c}) / s_{c} * {SIGNS[i]}"
 
 
+cte(
+    "marketf",
+    "market",
+    "SELECT trade_date, " + ", ".join(f"coalesce({c}, 0.0) AS {c}" for c in MARKET4) + " FROM market",
+)
 cte(
     "stressed",
-    "market stress_fit",
+    "marketf stress_fit",
     "SELECT trade_date, " + ", ".join(f"{component(i)} AS stress_{i}" for i in range(4))
     + ", " + mean([component(i) for i in range(4)])
-    + " AS stress FROM market, stress_fit",
+    + " AS stress FROM marketf, stress_fit",
 )
 cte(
     "train_stressed",
@@ -331,6 +336,10 @@ def rounded(col: str) -> str:
     )
 
 
+# Read by several others: evaluated once.
+SHARED = {"bars", "panel", "market", "features", "featm", "ranked", "scores", "rel", "weighted"}
+
+
 def sql(deps: str, body: str, dbl: str = "", cols: str = "") -> str:
     """Compose the named sub-queries ``deps`` needs with ``body``.
 
@@ -347,7 +356,8 @@ def sql(deps: str, body: str, dbl: str = "", cols: str = "") -> str:
 
     for name in deps.split():
         visit(name)
-    parts = [f"{n} AS ({CTES[n][1]})" for n in order]
+    kept = lambda n: " MATERIALIZED" if n in SHARED else ""
+    parts = [f"{n} AS{kept(n)} ({CTES[n][1]})" for n in order]
     parts.append(f"result AS ({body})")
     picks = ", ".join([f'"{c}"' for c in cols.split()] + [rounded(c) for c in dbl.split()]) or "*"
     return "WITH " + ",\n".join(parts) + f"\nSELECT {picks} FROM result"

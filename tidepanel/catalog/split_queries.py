@@ -146,7 +146,7 @@ def narrowed_window(t: Tables):
 
 
 SCALED = ("STD20", "ROC60", "turnover", "market_return_20")
-_rows = f"is_tradable AND in_signal_range AND trade_date <= DATE '{TRAIN_END}' AND market_return_20 IS NOT NULL"
+_rows = f"is_tradable AND in_signal_range AND trade_date <= DATE '{TRAIN_END}'"
 o.cte(
     "scaler",
     "featm",
@@ -173,7 +173,7 @@ def standardizer(t: Tables):
     "featm scaler",
     "SELECT code, trade_date, "
     + ", ".join(f'("{c}" - "m_{c}") / "s_{c}" AS "{c}"' for c in SCALED)
-    + " FROM featm, scaler WHERE market_return_20 IS NOT NULL",
+    + " FROM featm, scaler",
     KEYS,
     " ".join(SCALED),
 )
@@ -218,8 +218,19 @@ o.cte(
     + f" FROM state WHERE trade_date <= DATE '{TRAIN_END}' AND "
     + " AND ".join(f"{c} IS NOT NULL" for c in IND),
 )
-_tests = {n: f"coalesce({c} {s} {c}_{q}, false)" for n, (c, q, s) in rg.TESTS.items()}
-_score = lambda kind: " + ".join(f"CAST({n} AS INTEGER)" for n in rg.TESTS if n.startswith(kind))
+# Fixed values, written out here so that the SQL doesn't take them from the operator.
+TESTS = {
+    "weak_low_return": ("market_return_20", "q30", "<="),
+    "weak_high_volatility": ("market_volatility_20", "q70", ">="),
+    "weak_deep_drawdown": ("market_drawdown_60", "q30", "<="),
+    "weak_low_breadth": ("breadth_20", "q30", "<="),
+    "strong_high_return": ("market_return_20", "q70", ">="),
+    "strong_low_volatility": ("market_volatility_20", "q30", "<="),
+    "strong_shallow_drawdown": ("market_drawdown_60", "q70", ">="),
+    "strong_high_breadth": ("breadth_20", "q70", ">="),
+}
+_tests = {n: f"coalesce({c} {s} {c}_{q}, false)" for n, (c, q, s) in TESTS.items()}
+_score = lambda kind: " + ".join(f"CAST({n} AS INTEGER)" for n in TESTS if n.startswith(kind))
 o.cte(
     "labelled_state",
     "state limits",
@@ -274,7 +285,7 @@ def labelled_states(t: Tables):
     "I3",
     "labelled_state",
     "SELECT * FROM labelled_state",
-    "trade_date market_state weak_score strong_score " + " ".join(rg.TESTS),
+    "trade_date market_state weak_score strong_score " + " ".join(TESTS),
 )
 def regime_labels(t: Tables):
     return labelled_states(t)
@@ -356,17 +367,13 @@ o.cte(
   least(greatest((CASE WHEN abnormal_components >= 2 THEN 0.3 + 0.2 * {_smooth} ELSE 0.0 END) * 1.1, 0), 0.6) AS gate
 FROM (SELECT trade_date, {' + '.join(f'CAST(stress_{i} >= stress_{i}_lo AS INTEGER)' for i in range(4))} AS abnormal_components,
   list_sort([{', '.join(_p(i) for i in range(4))}], 'DESC')[2] AS k
-  FROM stressed, gate_fit WHERE stress IS NOT NULL)""",
+  FROM stressed, gate_fit)""",
 )
 
 
-def known_market(t: Tables):
-    return t.market.dropna()
-
-
 @checked("gate_two_of_four", "J2, B14", "gate24", "SELECT * FROM gate24", "trade_date abnormal_components", "gate")
 def gate_two_of_four(t: Tables):
-    return gt.gate_two_of_four(known_market(t), gt.load_rule(gate_rule_table(t)))
+    return gt.gate_two_of_four(t.market_filled, gt.load_rule(gate_rule_table(t)))
 
 
 def gate_rule_table(t: Tables):
@@ -378,12 +385,12 @@ def gate_rule_table(t: Tables):
     "J3",
     "stressed gate_fit",
     f"""SELECT trade_date, 0.5 * {_smooth} AS gate FROM (SELECT trade_date,
-  least(greatest((stress - stress_lo) / (stress_hi - stress_lo), 0), 1) AS k FROM stressed, gate_fit WHERE stress IS NOT NULL)""",
+  least(greatest((stress - stress_lo) / (stress_hi - stress_lo), 0), 1) AS k FROM stressed, gate_fit)""",
     "trade_date",
     "gate",
 )
 def gate_aggregate(t: Tables):
-    return gt.gate_aggregate(known_market(t), rule(t))
+    return gt.gate_aggregate(t.market_filled, rule(t))
 
 
 @checked(
@@ -391,24 +398,24 @@ def gate_aggregate(t: Tables):
     "J4",
     "stressed",
     """SELECT trade_date, 1.0 / (1.0 + exp(-(-1.5 + 1.25 * (0.75 * stress + 0.25 *
-  avg(stress) OVER (ORDER BY trade_date ROWS 59 PRECEDING))))) AS gate FROM stressed WHERE stress IS NOT NULL""",
+  avg(stress) OVER (ORDER BY trade_date ROWS 59 PRECEDING))))) AS gate FROM stressed""",
     "trade_date",
     "gate",
 )
 def gate_logistic(t: Tables):
-    return gt.gate_logistic(known_market(t), rule(t), 60)
+    return gt.gate_logistic(t.market_filled, rule(t), 60)
 
 
 @checked(
     "gate_override",
     "J5",
     "market",
-    "SELECT trade_date, 0.25 AS gate FROM market WHERE market_drawdown_60 IS NOT NULL",
+    "SELECT trade_date, 0.25 AS gate FROM market",
     "trade_date",
     "gate",
 )
 def gate_override(t: Tables):
-    return gt.gate_override(known_market(t), 0.25)
+    return gt.gate_override(t.market_filled, 0.25)
 
 
 @checked(
@@ -425,6 +432,6 @@ WINDOW w AS (PARTITION BY trade_date))""",
     "defensive_score gated_score",
 )
 def defensive_blend(t: Tables):
-    gates = gt.gate_two_of_four(known_market(t), rule(t))
+    gates = gt.gate_two_of_four(t.market_filled, rule(t))
     scored = t.scores.join(t.ranked.drop("label"), ["code", "trade_date"])
     return gt.defensive_blend(scored, gates, t.extent).where(F.col("gate").isNotNull())

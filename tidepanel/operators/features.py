@@ -157,6 +157,14 @@ def baseline24(panel: DataFrame, zero_fill: bool = True) -> DataFrame:
     return result
 
 
+def fill_market(df: DataFrame) -> DataFrame:
+    """Warm-up days of the market state count as 0, like those of the features.
+
+    Every later step (scaler, stress, gate) fits and applies on the filled columns.
+    """
+    return df.withColumns({name: clean(F.col(name)) for name in MARKET4})
+
+
 def select_features(
     feature_set: str,
     exclude: tuple[str, ...] = (),

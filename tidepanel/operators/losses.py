@@ -1,8 +1,7 @@
 """Ranking losses as audit measures of a score table.
 
 Per-date normalisers are combined aggregates. The pairwise losses never form
-pairs: the pair function is expanded into products of one-sided terms, so a
-running sum of those terms along the relevance covers all pairs of a date.
+pairs: sums of one-sided terms at the nodes of a tree over the scores cover them.
 """
 
 from __future__ import annotations
@@ -16,14 +15,11 @@ from pyspark.sql import functions as F
 from tidepanel.operators.features import LOW_VOLATILITY
 from tidepanel.operators.market import mean_of
 from tidepanel.plans.extent import Extent, attach, with_date_stats
-from tidepanel.plans.ordering import prefix_sums
+from tidepanel.plans.ordering import prefix_sums, row_positions
 from tidepanel.schemas import DataContractError
 
 TARGETS = ("ordinal_softmax", "normalized_rank_softmax", "percentile_target")
 SHORTCUT_FEATURES = (*LOW_VOLATILITY, "turnover")  # fixed value
-EXPANSION_TOLERANCE = 1e-13
-# One term is one running sum; 64 terms reach scores that spread over about 14.
-MAX_TERMS = 64
 
 
 def target_distribution(
@@ -133,69 +129,99 @@ def listwise_loss(
     )
 
 
-def softplus_expansion(half_range: float) -> np.ndarray:
-    """Coefficients A with softplus(c (u - v)) = sum A[k, l] T_k(u) T_l(v).
+def kernel_coefficients(degree: int = 16) -> list[float]:
+    """log(1 + x) on [0, 1] as a polynomial without constant term.
 
-    Chebyshev polynomials on [-1, 1] in both arguments. The degree doubles
-    until the last coefficients vanish at double precision; it grows with the
-    spread of the scores, and a spread that needs too many terms is refused.
+    Its nearest singularity is at -1, so the error falls by 5.8 with every degree.
     """
-    size = 8
-    while True:
-        nodes = np.cos(np.pi * (np.arange(size) + 0.5) / size)
-        x = half_range * (nodes[:, None] - nodes[None, :])
-        values = np.logaddexp(0.0, x)
-        basis = np.cos(np.arange(size)[:, None] * np.arccos(nodes)[None, :])
-        basis[0] *= 0.5
-        coefficients = 4.0 / size**2 * basis @ values @ basis.T
-        tail = max(np.abs(coefficients[-2:]).max(), np.abs(coefficients[:, -2:]).max())
-        if tail <= EXPANSION_TOLERANCE * max(1.0, half_range):
-            keep = np.abs(coefficients).max(axis=0) > EXPANSION_TOLERANCE * 1e-2
-            used = int(np.max(np.nonzero(keep)[0])) + 1
-            if used <= MAX_TERMS:
-                return coefficients[:used, :used]
-        if size > 2 * MAX_TERMS:
-            raise DataContractError(
-                f"scores of a date spread over {2 * half_range:g}; divide them by a temperature"
-            )
-        size *= 2
-
-
-def _one_sided(rows: DataFrame, extent: Extent) -> tuple[DataFrame, np.ndarray, list[Column]]:
-    """Scores centred per date and scaled by the widest date, with the basis."""
-    ranged = with_date_stats(
-        rows, extent, _lo=F.min("score"), _hi=F.max("score")
-    )
-    widest = rows.groupBy("trade_date").agg(
-        (F.max("score") - F.min("score")).alias("w")
-    ).agg(F.max("w").alias("w")).first()["w"]
-    half = max((widest or 0.0) / 2.0, 1e-9)
-    angle = F.acos(
-        F.greatest(
-            F.least((F.col("score") - (F.col("_lo") + F.col("_hi")) / 2.0) / F.lit(half), F.lit(1.0)),
-            F.lit(-1.0),
+    near = np.polynomial.chebyshev.Chebyshev.interpolate(np.log1p, degree, domain=[0.0, 1.0])
+    return [float(a) for a in near.convert(kind=np.polynomial.Polynomial).coef[1:]]
+
+
+def _with_group_stats(df: DataFrame, keys: Sequence[str], extent: Extent, **stats: Column) -> DataFrame:
+    """Aggregates of each group on its rows: a window while a date fits one task."""
+    if extent.direct:
+        whole = Window.partitionBy(*keys)
+        return df.withColumns({name: c.over(whole) for name, c in stats.items()})
+    return df.join(df.groupBy(*keys).agg(*[c.alias(name) for name, c in stats.items()]), list(keys))
+
+
+def _halved(rows: DataFrame, by: Sequence[str], extent: Extent) -> DataFrame:
+    """Every row once for each level of a binary tree over its group's order of scores.
+
+    Two rows stand on different sides of exactly one node. ``_upper`` marks the side
+    of the larger scores, whose least score ``_least`` lies between the two sides;
+    ``_gap`` is the distance to it, so no exponential of it overflows.
+    """
+    placed = row_positions(rows, by, [F.col("score"), F.col("code")], extent, "_pos")
+    levels = F.sequence(F.lit(0), F.lit(max(0, extent.per_date.bit_length() - 1)))
+    sides = (
+        placed.withColumn("_p", F.col("_pos").cast("long") - 1)
+        .withColumn("_level", F.explode(levels))
+        .withColumns(
+            {
+                "_node": F.expr("shiftright(_p, _level + 1)"),
+                "_upper": F.expr("shiftright(_p, _level) & 1") == 1,
+            }
         )
+        .drop("_pos", "_p")
+    )
+    least = F.min(F.when(F.col("_upper"), F.col("score")))
+    stated = _with_group_stats(sides, [*by, "_level", "_node"], extent, _least=least)
+    gap = F.abs(F.col("score") - F.col("_least"))
+    return stated.where(F.col("_least").isNotNull()).withColumn("_gap", gap)
+
+
+def _close_pairs(rows: DataFrame, by: Sequence[str], extent: Extent, label: str) -> DataFrame:
+    """Per date: sums of log(1 + exp(-d)) over all pairs of a group, d being the
+    difference of their scores, plain and times the sum of both weights."""
+    coefficients = kernel_coefficients()
+    upper, weight = F.col("_upper"), F.col("pair_weight")
+    sums = []
+    for k in range(1, len(coefficients) + 1):
+        term = F.exp(F.lit(-float(k)) * F.col("_gap"))
+        for name, side in (("u", upper), ("l", ~upper)):
+            sums += [
+                F.sum(F.when(side, term).otherwise(0.0)).alias(f"{name}{k}"),
+                F.sum(F.when(side, term * weight).otherwise(0.0)).alias(f"{name}w{k}"),
+            ]
+    nodes = _halved(rows, by, extent).groupBy(*by, "_level", "_node").agg(*sums)
+    plain, heavy = F.lit(0.0), F.lit(0.0)
+    for k, a in enumerate(coefficients, 1):
+        plain = plain + F.lit(a) * F.col(f"u{k}") * F.col(f"l{k}")
+        heavy = heavy + F.lit(a) * (F.col(f"uw{k}") * F.col(f"l{k}") + F.col(f"u{k}") * F.col(f"lw{k}"))
+    return nodes.groupBy("trade_date").agg(F.sum(plain).alias(label), F.sum(heavy).alias(f"{label}_w"))
+
+
+def _crossed_pairs(rows: DataFrame, extent: Extent) -> DataFrame:
+    """Per date: sums of the difference of scores over the pairs whose larger score
+    has the smaller relevance, plain and times the sum of both weights."""
+    sides = _halved(rows, ["trade_date"], extent)
+    on = lambda x: F.when(F.col("_upper"), x).otherwise(F.lit(0.0))
+    gap, weight = F.col("_gap"), F.col("pair_weight")
+    sums = {"n": on(F.lit(1.0)), "d": on(gap), "wn": on(weight), "wd": on(weight * gap)}
+    keys = ["trade_date", "_level", "_node"]
+    depth = max(1, extent.per_date.bit_length())
+    summed = prefix_sums(sides, keys, "relevance", sums, extent, depth, 2 * extent.per_date)
+    below = lambda name: F.col(f"{name}_le") - F.col(f"{name}_tie")
+    plain = below("d") + gap * below("n")
+    heavy = weight * plain + below("wd") + gap * below("wn")
+    return summed.where(~F.col("_upper")).groupBy("trade_date").agg(
+        F.sum(plain).alias("_cross"), F.sum(heavy).alias("_cross_w")
+    )
+
+
+def _crossed_heads(rows: DataFrame, extent: Extent) -> DataFrame:
+    """Per date: differences of scores over pairs of a head name and a name of the
+    rest with a larger score."""
+    rest = ~F.col("is_head")
+    centred = with_date_stats(rows, extent, _low=F.min("score")).withColumn("_s", F.col("score") - F.col("_low"))
+    sums = {"n": F.when(rest, 1.0).otherwise(0.0), "s": F.when(rest, F.col("_s")).otherwise(0.0)}
+    summed = prefix_sums(centred, ["trade_date"], "_s", sums, extent)
+    above = lambda name: F.col(f"{name}_all") - F.col(f"{name}_le")
+    return summed.where(F.col("is_head")).groupBy("trade_date").agg(
+        F.sum(above("s") - F.col("_s") * above("n")).alias("_head_cross")
     )
-    placed = ranged.withColumn("_angle", angle).drop("_lo", "_hi")
-    coefficients = softplus_expansion(half)
-    basis = [F.cos(F.lit(float(k)) * F.col("_angle")) for k in range(len(coefficients))]
-    return placed, coefficients, basis
-
-
-def _combine(coefficients: np.ndarray, left: Sequence[Column], right: Sequence[Column]) -> Column:
-    """sum over k, l of A[k, l] * left[k] * right[l]; negligible terms dropped."""
-    floor = EXPANSION_TOLERANCE * 1e-3
-    total = F.lit(0.0)
-    for l, outer in enumerate(right):
-        inner = None
-        for k, term in enumerate(left):
-            a = float(coefficients[k, l])
-            if abs(a) > floor:
-                piece = F.lit(a) * term
-                inner = piece if inner is None else inner + piece
-        if inner is not None:
-            total = total + inner * outer
-    return total
 
 
 def pairwise_losses(rows: DataFrame, extent: Extent) -> DataFrame:
@@ -203,53 +229,45 @@ def pairwise_losses(rows: DataFrame, extent: Extent) -> DataFrame:
 
     ``rows`` carries score, relevance, pair_weight and is_head. Pairs with
     equal relevance do not count. A date without pairs has a loss of 0.
+
+    The loss of a pair is log(1 + exp(-d)), d being the distance of its scores,
+    plus d where the larger score has the smaller relevance. No pair is formed: a
+    binary tree over the order of scores meets every pair at one node, where the
+    first part is a polynomial in exp(-d), that is a product of sums of both sides,
+    and the second a running sum along the relevance. Scores may spread at will.
     """
-    placed, coefficients, basis = _one_sided(rows, extent)
-    size = len(basis)
-    weight = F.col("pair_weight")
-    sums = {f"t{k}": basis[k] for k in range(size)}
-    sums |= {f"w{k}": weight * basis[k] for k in range(size)}
-    summed = prefix_sums(placed, ["trade_date"], "relevance", sums, extent)
-    lower = lambda name: F.col(f"{name}_le") - F.col(f"{name}_tie")
-    plain = [lower(f"t{k}") for k in range(size)]
-    heavy = [lower(f"w{k}") for k in range(size)]
-    below = summed.select(
-        "trade_date",
-        "is_head",
-        F.array(*plain).alias("_p"),
-        F.array(*heavy).alias("_w"),
-        F.array(*basis).alias("_b"),
-        weight.alias("_weight"),
-    )
-    at = lambda name: [F.get(name, F.lit(k)) for k in range(size)]
-    pairs = _combine(coefficients, at("_p"), at("_b"))
-    scored = below.withColumns(
-        {
-            "_pairs": F.get("_p", F.lit(0)),
-            "_global": pairs,
-            "_weighted": F.col("_weight") * pairs + _combine(coefficients, at("_w"), at("_b")),
-        }
-    )
-    head, rest = F.col("is_head"), ~F.col("is_head")
-    one = lambda side, k: F.coalesce(F.sum(F.when(side, F.get("_b", F.lit(k)))), F.lit(0.0))
-    dates = scored.groupBy("trade_date").agg(
-        F.sum("_pairs").alias("n_pairs"),
-        F.sum("_global").alias("_gs"),
-        F.sum("_weighted").alias("_ws"),
-        F.count_if(head).alias("_heads"),
-        F.count_if(rest).alias("_rest"),
-        F.array(*[one(head, k) for k in range(size)]).alias("_h"),
-        F.array(*[one(rest, k) for k in range(size)]).alias("_r"),
-    )
-    # Every head name outranks every other name, so the head loss needs no order.
-    head_sum = _combine(coefficients, at("_r"), at("_h"))
+    rows = rows.select("trade_date", "code", "score", "relevance", "pair_weight", "is_head")
+    date = ["trade_date"]
+    tied = _with_group_stats(rows, ["trade_date", "relevance"], extent, _alike=F.count(F.lit(1)))
+    tied = tied.where(F.col("_alike") > 1).drop("_alike")
+    level = rows.groupBy("trade_date", "relevance").agg(F.count("*").cast("double").alias("n"))
+    n_tied = level.groupBy(*date).agg(F.sum(F.col("n") * F.col("n")).alias("_tied"))
+    head = F.col("is_head")
+    dates = rows.groupBy(*date).agg(
+        F.count("*").cast("double").alias("_n"), F.count_if(head).alias("_heads"), F.count_if(~head).alias("_rest")
+    ).join(n_tied, date)
+    for side in (
+        _close_pairs(rows, date, extent, "_all"),
+        _close_pairs(tied, ["trade_date", "relevance"], extent, "_same"),
+        _close_pairs(rows, ["trade_date", "is_head"], extent, "_own"),
+        _crossed_pairs(rows, extent),
+        _crossed_heads(rows, extent),
+    ):
+        dates = attach(dates, side, date, extent.dates)
+    known = lambda name: F.coalesce(F.col(name), F.lit(0.0))
     ratio = lambda total, n: F.coalesce(F.try_divide(total, n), F.lit(0.0))
+    pairs = (F.col("_n") * F.col("_n") - F.col("_tied")) / 2.0
+    total = known("_all") - known("_same") + known("_cross")
+    heavy = known("_all_w") - known("_same_w") + known("_cross_w")
+    # Every head name outranks every other name.
+    headed = known("_all") - known("_own") + known("_head_cross")
+    some = lambda x: F.when(pairs > 0, x).otherwise(F.lit(0.0))
     return dates.select(
         "trade_date",
-        F.round("n_pairs").cast("long").alias("n_pairs"),
-        ratio(F.col("_ws"), F.col("n_pairs")).alias("pairwise_loss"),
-        ratio(F.col("_gs"), F.col("n_pairs")).alias("global_loss"),
-        ratio(head_sum, F.col("_heads") * F.col("_rest")).alias("head_loss"),
+        F.round(pairs).cast("long").alias("n_pairs"),
+        some(ratio(heavy, pairs)).alias("pairwise_loss"),
+        some(ratio(total, pairs)).alias("global_loss"),
+        ratio(headed, F.col("_heads") * F.col("_rest")).alias("head_loss"),
     )
 
 

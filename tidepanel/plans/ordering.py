@@ -28,7 +28,7 @@ def row_positions(
 ) -> DataFrame:
     """1-based position of every row in its group; ``order`` must be total."""
     if extent.direct:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
     buckets = extent.buckets()
     placed = stage(
         df.repartitionByRange(buckets, *by, *order).withColumn(BUCKET, F.spark_partition_id()),
@@ -44,7 +44,7 @@ def row_positions(
     inside = Window.partitionBy(*by, BUCKET).orderBy(*order)
     return (
         attach(placed, heads, [*by, BUCKET], extent.dates + buckets)
-        .withColumn(out, (F.row_number().over(inside) + F.col("_before")).cast("int"))
+        .withColumn(out, (F.row_number().over(inside) + F.col("_before")).cast("long"))
         .drop(BUCKET, "_before")
     )
 
@@ -74,12 +74,14 @@ def prefix_sums(
     sums: Mapping[str, Column],
     extent: Extent,
     fan_out: int = 1,
+    groups: int | None = None,
 ) -> DataFrame:
     """Sums over the rows of the group up to the row's value.
 
     Adds ``<name>_le`` (values not above), ``<name>_tie`` (equal values) and
     ``<name>_all`` (the whole group). Rows whose value is NULL take no part and
-    get NULL. ``fan_out`` is the number of groups per date.
+    get NULL. ``fan_out`` is how often a date's rows stand here, ``groups`` the most
+    groups of a date (``fan_out`` unless given).
     """
     known = F.col(value).isNotNull()
     if extent.direct:
@@ -115,7 +117,7 @@ def prefix_sums(
         .orderBy(value)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    ranked = attach(placed, heads, [*by, BUCKET], extent.dates * fan_out + buckets).select(
+    ranked = attach(placed, heads, [*by, BUCKET], extent.dates * (groups or fan_out) + buckets).select(
         *by,
         value,
         *[
