@@ -67,15 +67,17 @@ RAW = ("ts_code", "trade_date", "open", "close", "vol")
     "raw_responses",
     "A2",
     "bars",
-    "SELECT code AS ts_code, CAST(trade_date AS VARCHAR) AS trade_date FROM bars",
+    "SELECT code AS ts_code, CAST(trade_date AS VARCHAR) AS trade_date, open, close, vol FROM bars",
     "ts_code trade_date",
+    "open close vol",
 )
 def raw_responses(t: Tables):
     """One landed folder per year, read back as text."""
     path = scratch(t, "raw")
     landed = t.market_bars.select(*RAW).withColumn("year", F.year("trade_date"))
-    landed.repartition("year").write.partitionBy("year").csv(path, header=True)
-    return rd.read_raw_responses(t.spark, f"{path}/*/*.csv", RAW)
+    landed.repartition("year", "ts_code").write.partitionBy("year").csv(path, header=True)
+    raw = rd.read_raw_responses(t.spark, f"{path}/*/*.csv", RAW)
+    return raw.withColumns({c: to_numeric(F.col(c)) for c in ("open", "close", "vol")})
 
 
 @checked(
@@ -179,11 +181,35 @@ def text_date_range(t: Tables):
     return ig.filter_date_range(t.read("events").withColumn("day", forms), "day", LO, HI)
 
 
-@query("file_checksums", "A9", cols="bytes sha256")
+_LINES = """SELECT day, bytes, sha256 FROM (SELECT day, CAST(strlen(txt) AS BIGINT) AS bytes, sha256(txt) AS sha256 FROM (
+  SELECT day, string_agg(line || chr(10), '' ORDER BY event_id) AS txt FROM (
+    SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_id, event_id || ',' || user_id AS line FROM events) GROUP BY day))"""
+
+
+def day_files(t: Tables, name: str) -> str:
+    """One text file a day, a line for each event in order of its number."""
+    path = scratch(t, name)
+    lines = t.read("events").select(
+        F.to_date("ts").cast("string").alias("day"), "event_id", F.concat_ws(",", "event_id", "user_id").alias("value")
+    )
+    placed = lines.repartition("day").sortWithinPartitions("day", "event_id").drop("event_id")
+    placed.write.partitionBy("day").option("maxRecordsPerFile", 0).text(path)
+    return path
+
+
+def day_sums(files):
+    day = F.regexp_extract("file_path", "day=([0-9-]+)", 1)
+    return files.select(day.alias("day"), "bytes", "sha256")
+
+
+@checked("file_checksums", "A9", "", _LINES, "day bytes sha256")
 def file_checksums(t: Tables):
-    path = scratch(t, "panel-sums")
-    wr.write_panel(t.panel.select(*PANEL_TEXT), path, fmt="csv", by_year=False)
-    return rd.checksum_manifest(t.spark, path, "*.csv")
+    return day_sums(rd.checksum_manifest(t.spark, day_files(t, "sums"), "*.txt"))
+
+
+@checked("file_checksums_in_pieces", "A9", "", _LINES, "day bytes sha256")
+def file_checksums_in_pieces(t: Tables):
+    return day_sums(rd.checksum_manifest(t.spark, day_files(t, "pieces"), "*.txt", whole_bytes=0))
 
 
 @checked("csv_row_counts", "A9", "panel", "SELECT count(*) AS rows FROM panel", "rows")

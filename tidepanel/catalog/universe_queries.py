@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.catalog.base import RESEARCH_START, SIGNAL_END, Tables
 from tidepanel.catalog.registry import checked
-from tidepanel.functions.codes import normalize_ts_code
+from tidepanel.functions.codes import normalize_ts_code, pure_code, zfill
 from tidepanel.operators import universe as un
 
 RANGE = f"trade_date BETWEEN DATE '{RESEARCH_START}' AND DATE '{SIGNAL_END}'"
@@ -224,16 +224,21 @@ def historically_removed(t: Tables):
     "normalized_codes",
     "B1, B2",
     "",
-    """SELECT s_suppkey, lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '.SZ' AS from_number,
-  lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS pure FROM supplier WHERE s_suppkey < 500000""",
-    "s_suppkey from_number pure",
+    """SELECT s_suppkey, digits || '.' || CASE WHEN s_suppkey % 4 = 1 THEN 'SH' WHEN s_suppkey % 4 = 3 THEN 'SZ'
+  WHEN digits[1] IN ('5', '6', '9') THEN 'SH' ELSE 'SZ' END AS qualified, digits AS pure
+FROM (SELECT s_suppkey, lpad(CAST(s_suppkey * 7919 % 1000000 AS VARCHAR), 6, '0') AS digits FROM supplier)""",
+    "s_suppkey qualified pure",
 )
 def normalized_codes(t: Tables):
-    """Codes written as a number with decimals."""
-    raw = t.read("supplier").where(F.col("s_suppkey") < 500000)
-    text = F.concat(F.lit(" "), F.col("s_suppkey").cast("string"), F.lit(".0"))
-    return raw.select(
-        "s_suppkey",
-        normalize_ts_code(text).alias("from_number"),
-        F.substring_index(normalize_ts_code(text), ".", 1).alias("pure"),
+    """Codes of both exchanges: a number with decimals, qualified in either case, or prefixed."""
+    number = F.col("s_suppkey") * 7919 % 1000000
+    digits = zfill(number.cast("string"))
+    text = (
+        F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit(" "), number.cast("string"), F.lit(".0")))
+        .when(F.col("s_suppkey") % 4 == 1, F.concat(digits, F.lit(".SH ")))
+        .when(F.col("s_suppkey") % 4 == 2, F.concat(F.lit("sz."), digits))
+        .otherwise(F.concat(digits, F.lit(".sz")))
+    )
+    return t.read("supplier").select(
+        "s_suppkey", normalize_ts_code(text).alias("qualified"), pure_code(text).alias("pure")
     )

@@ -45,7 +45,9 @@ def densify(adjusted: DataFrame, calendar: DataFrame) -> DataFrame:
 
     Each bar is expanded over the days until the code's next bar, so filling
     forward needs no join and no second pass: the added days take the bar's
-    close as all four prices, its factor, and zero trading.
+    close as all four prices, its factor, and zero trading. A code whose bars all
+    lie off the calendar is listed from its first bar on, suspended and without
+    prices.
     """
     edge = calendar_bounds(calendar)
     last_pos = edge["last_pos"]
@@ -61,7 +63,13 @@ def densify(adjusted: DataFrame, calendar: DataFrame) -> DataFrame:
         F.first("_snapped").over(
             by_code().rowsBetween(Window.unboundedPreceding, Window.currentRow)
         ),
-    ).where(F.col("pos").isNotNull())
+    )
+    never = F.max("pos").over(Window.partitionBy("code")).isNull()
+    listed = (
+        listed.withColumn("_never", never & (F.row_number().over(by_code()) == 1))
+        .where(F.col("pos").isNotNull() | F.col("_never"))
+        .drop("_never")
+    )
     following = F.coalesce(F.lead("pos").over(by_code()) - 1, F.lit(last_pos))
     first_bar = F.lag("pos").over(by_code()).isNull()
     spread = listed.withColumn(
@@ -70,8 +78,8 @@ def densify(adjusted: DataFrame, calendar: DataFrame) -> DataFrame:
             F.when(first_bar, F.least("_listed", "pos")).otherwise(F.col("pos")), following
         ),
     ).withColumn("_day", F.explode("_days"))
-    traded = F.col("_day") == F.col("pos")
-    unlisted = F.col("_day") < F.col("pos")
+    traded = F.coalesce(F.col("_day") == F.col("pos"), F.lit(False))
+    unlisted = F.coalesce(F.col("_day") < F.col("pos"), F.lit(True))
     filled = {
         c: F.when(traded, F.col(c)).when(~unlisted, F.col("close")) for c in PRICES
     }

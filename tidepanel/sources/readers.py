@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -111,10 +112,17 @@ def read_announcements(spark: SparkSession, path) -> DataFrame:
     )
 
 
-def checksum_manifest(spark: SparkSession, path, pattern: str = "*") -> DataFrame:
+#: Files up to this size are hashed as one value.
+WHOLE_BYTES = 256 << 20
+
+
+def checksum_manifest(
+    spark: SparkSession, path, pattern: str = "*", whole_bytes: int = WHOLE_BYTES
+) -> DataFrame:
     """SHA-256 and size of every file, each file hashed inside a task.
 
-    Spark hands a file over as one value, so single files must stay below 2 GB.
+    Spark hands a file over as one value; files of WHOLE_BYTES and more are read
+    in pieces instead, through a filesystem that the executors reach.
     """
     files = (
         spark.read.format("binaryFile")
@@ -122,14 +130,35 @@ def checksum_manifest(spark: SparkSession, path, pattern: str = "*") -> DataFram
         .option("pathGlobFilter", pattern)
         .load(path)
     )
-    return files.select(
+    whole = files.where(F.col("length") < whole_bytes).select("path", F.sha2("content", 256).alias("sha256"), "length")
+    large = files.where(F.col("length") >= whole_bytes).select("path", "length")
+    streamed = large.mapInPandas(_hash_files, "path string, sha256 string, length long")
+    return whole.unionByName(streamed).select(
         F.element_at(F.split("path", "/"), -1).alias("name"),
         F.col("path").alias("file_path"),
-        F.sha2("content", 256).alias("sha256"),
+        "sha256",
         F.col("length").alias("bytes"),
     )
 
 
+def _hash_files(frames):
+    """Hash each file of a batch of paths, a few MB at a time."""
+    import hashlib
+
+    from pyarrow.fs import FileSystem
+
+    for frame in frames:
+        hashes = []
+        for path in frame["path"]:
+            files, place = FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
+            digest = hashlib.sha256()
+            with files.open_input_stream(place) as source:
+                while piece := source.read(4 << 20):
+                    digest.update(piece)
+            hashes.append(digest.hexdigest())
+        yield frame.assign(sha256=hashes)[["path", "sha256", "length"]]
+
+
 def csv_row_counts(spark: SparkSession, path) -> DataFrame:
     """Data rows per CSV file."""
     return (

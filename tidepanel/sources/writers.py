@@ -31,8 +31,10 @@ def json_lines(report: DataFrame) -> DataFrame:
 
 
 def write_json_report(report: DataFrame, path: str) -> None:
-    """One JSON object per row of a small report table."""
-    json_lines(report).coalesce(1).write.mode("overwrite").text(path)
+    """One JSON object per row of a small report table.
+
+    The rows move to one task; the plan before them keeps its own tasks."""
+    json_lines(report).repartition(1).write.mode("overwrite").text(path)
 
 
 def append_audit(rows: DataFrame, path: str) -> None:
@@ -43,7 +45,7 @@ def append_audit(rows: DataFrame, path: str) -> None:
 def write_result(portfolio: DataFrame, path: str, overwrite: bool = False) -> None:
     """The selected names and weights; an existing target is kept by default."""
     mode = "overwrite" if overwrite else "errorifexists"
-    portfolio.coalesce(1).write.mode(mode).csv(path, header=True)
+    portfolio.repartition(1).write.mode(mode).csv(path, header=True)
 
 
 def write_ranking(ranking: DataFrame, path: str, overwrite: bool = False) -> None:
