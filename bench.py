@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
 
 from tidepanel.catalog import ENTRIES
 from tidepanel.catalog.base import tables
+from tidepanel.plans.staging import release
 
 STAGES = ("plain_bars", "calendar", "snapshots", "events", "members", "panel", "market", "features", "ranked", "scores")
 HEADLINE = (
@@ -53,6 +55,7 @@ def main() -> None:
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tidepanel-bench-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
@@ -68,6 +71,7 @@ def main() -> None:
             ENTRIES[name].run(spark, folder).write.format("noop").mode("overwrite").save()
             into[name] = round(time.perf_counter() - start, 3)
     queries = {**stages, **warm}
+    release(spark)
     print(
         json.dumps(
             {

@@ -29,7 +29,12 @@ SNAPSHOT_WEEKS = 13
 
 def weekly_bars(lineitem: DataFrame) -> DataFrame:
     """Sales lines to weekly bars; first and last price by a total order."""
-    order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice")
+    # Day, order and line in one long: a fixed-width buffer, so that the aggregation hashes.
+    day = F.datediff("l_shipdate", F.lit("1970-01-01")) + (1 << 16)
+    key, line = F.col("l_orderkey"), F.col("l_linenumber")
+    fits = day.between(0, (1 << 17) - 1) & key.between(0, (1 << 42) - 1) & line.between(0, 15)
+    packed = (day.cast("long") * (1 << 42) + key.cast("long")) * 16 + line.cast("long")
+    order = F.when(fits, packed).otherwise(F.raise_error(F.lit("a sales line doesn't fit the packed order")).cast("long"))
     price = F.col("l_extendedprice")
     grouped = lineitem.groupBy(
         "l_suppkey", F.date_trunc("week", "l_shipdate").cast("date").alias("trade_date")

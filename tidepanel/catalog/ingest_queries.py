@@ -15,11 +15,13 @@ from tidepanel.functions import text as tx
 from tidepanel.functions.codes import zfill
 from tidepanel.functions.numeric import eps_divide, smoothstep, to_numeric
 from tidepanel.operators import notices as nt
+from tidepanel.operators import quality
 from tidepanel.operators.calendar import trading_calendar
 from tidepanel.operators.crosssection import top_k_portfolio
 from tidepanel.operators.evaluation import evaluate_daily, evaluation_summary
 from tidepanel.plans.extent import attach
-from tidepanel.plans.staging import shared_dir
+from tidepanel.plans.staging import shared_dir, stage
+from tidepanel.schemas import DataContractError
 from tidepanel.sources import ingest as ig
 from tidepanel.sources import readers as rd
 from tidepanel.sources import writers as wr
@@ -207,6 +209,59 @@ def file_checksums(t: Tables):
     return day_sums(rd.checksum_manifest(t.spark, day_files(t, "sums"), "*.txt"))
 
 
+@checked(
+    "validation_gate",
+    "D14",
+    "",
+    """SELECT c.name, CASE WHEN passes THEN (SELECT count(*) FROM events) ELSE -1 END AS rows
+FROM (VALUES ('validated', true), ('failed', false), ('unknown', false), ('changed', false), ('missing', false)) c(name, passes)""",
+    "name rows",
+)
+def validation_gate(t: Tables):
+    """Row counts behind the gate; -1 where it refuses."""
+    sums = rd.checksum_manifest(t.spark, day_files(t, "gate"), "*.txt").withColumn("name", F.regexp_extract("file_path", "day=([0-9-]+)", 1))
+    sums = stage(sums.select("name", "sha256"), "sums")
+    first = sums.agg(F.min("name").alias("n"))
+    changed = sums.join(F.broadcast(first), F.col("name") == F.col("n"), "left").withColumn(
+        "sha256", F.when(F.col("n").isNotNull(), F.lit("0")).otherwise(F.col("sha256"))
+    ).drop("n")
+    missing = sums.join(F.broadcast(first), F.col("name") == F.col("n"), "left_anti")
+    status = lambda s: t.spark.createDataFrame([(s,)] if s else [], "status string")
+    out = []
+    for name, manifest, now in (
+        ("validated", "validated", sums), ("failed", "failed", sums), ("unknown", None, sums),
+        ("changed", "validated", changed), ("missing", "validated", missing),
+    ):
+        try:
+            rows = quality.gate_on_validated(t.read("events"), status(manifest), now, sums).count()
+        except DataContractError:
+            rows = -1
+        out.append((name, rows))
+    return t.spark.createDataFrame(out, "name string, rows long")
+
+
+@checked(
+    "announcements_from_json",
+    "A4",
+    "",
+    """SELECT CAST(event_id AS VARCHAR) AS announcement_id, CASE WHEN event_type <> 'click' THEN 'announcement' END AS item_type,
+  CAST(ts AS DATE) AS item_date FROM events
+WHERE event_type <> 'error' AND event_id % 5 <> 0 AND CAST(ts AS DATE) <= DATE '2024-01-12'""",
+    "announcement_id item_type item_date",
+)
+def announcements_from_json(t: Tables):
+    """Search responses of some hundred items each, saved as JSON, read and filtered."""
+    item = F.struct(
+        F.col("announcement_id").alias("id"), "title", F.col("item_type").alias("itemType"),
+        F.col("item_date").cast("string").alias("itemDate"), "content",
+    )
+    page = F.floor(F.col("announcement_id").cast("long") / 500)
+    saved = notices(t).groupBy(page.alias("page")).agg(F.to_json(F.struct(F.collect_list(item).alias("data"))).alias("value"))
+    path = scratch(t, "responses")
+    saved.select("value").write.option("lineSep", "\n").text(path)
+    return nt.select_announcements(rd.read_announcements(t.spark, path, multi_line=False), date(2023, 6, 1), date(2023, 12, 12))
+
+
 @checked("file_checksums_in_pieces", "A9", "", _LINES, "day bytes sha256")
 def file_checksums_in_pieces(t: Tables):
     return day_sums(rd.checksum_manifest(t.spark, day_files(t, "pieces"), "*.txt", whole_bytes=0))

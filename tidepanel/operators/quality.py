@@ -114,6 +114,13 @@ def require_validated(manifest: DataFrame) -> None:
         raise DataContractError("the dataset manifest is not validated")
 
 
+def gate_on_validated(panel: DataFrame, manifest: DataFrame, actual: DataFrame, recorded: DataFrame) -> DataFrame:
+    """The panel, once its manifest says validated and its files are those recorded."""
+    require_validated(manifest)
+    require_same_files(actual, recorded)
+    return panel
+
+
 def require_same_files(actual: DataFrame, recorded: DataFrame) -> None:
     """Refuse when a file's hash differs from the recorded one."""
     now, then = actual.select("name", "sha256"), recorded.select(

@@ -92,15 +92,15 @@ def constituents(listed: DataFrame, arrival: str | None = None) -> DataFrame:
     )
 
 
-def read_announcements(spark: SparkSession, path) -> DataFrame:
-    """Saved search responses to one row per announcement."""
+def read_announcements(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
+    """Saved search responses to one row per announcement; one response a file, or a line."""
     schema = (
         "data array<struct<id:string,title:string,headline:string,itemType:string,"
         "itemDate:string,content:string>>"
     )
     return (
         spark.read.schema(schema)
-        .json(path, multiLine=True)
+        .json(path, multiLine=multi_line)
         .select(F.explode("data").alias("d"))
         .select(
             F.col("d.id").alias("announcement_id"),
