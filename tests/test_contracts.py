@@ -10,10 +10,12 @@ from tidepanel.operators import features as ft
 from tidepanel.operators import market as mk
 from tidepanel.operators import panel as pn
 from tidepanel.operators import quality
+from tidepanel.operators import rerank as rr
 from tidepanel.operators.calendar import trading_calendar
 from tidepanel.plans.staging import _local_folder
 from tidepanel.schemas import DataContractError
 from tidepanel.sources.readers import checksum_manifest
+from tidepanel.streaming import upsert
 
 DAY = date(2020, 1, 6)
 
@@ -68,3 +70,25 @@ def test_gate_refuses_what_was_not_validated(spark, tmp_path):
     (tmp_path / "a.txt").write_text("changed")
     with pytest.raises(DataContractError):
         quality.gate_on_validated(panel, manifest("validated"), checksum_manifest(spark, str(tmp_path), "*.txt"), recorded)
+
+
+def test_a_batch_writes_only_its_rows_and_folding_keeps_the_newest(spark, tmp_path):
+    target, keys = str(tmp_path / "t"), ("code",)
+    merge = upsert.merge_batch(target, keys, fold_every=3)
+    rows = [[("a", 1), ("b", 1)], [("b", 2)], [("c", 3)], [("a", 4)]]
+    for i, batch in enumerate(rows):
+        merge(spark.createDataFrame(batch, "code string, x long"), i)
+        if i == 1:
+            assert spark.read.parquet(f"{target}/v=1").count() == 1
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["base=2", "v=3"]
+    merge(spark.createDataFrame(rows[3], "code string, x long"), 3)  # the last batch again
+    got = {r.code: r.x for r in upsert.read_target(spark, target, keys).collect()}
+    assert got == {"a": 4, "b": 2, "c": 3}
+
+
+def test_history_rank_without_lists(spark):
+    rng = np.random.default_rng(1)
+    v = [None if x < 0.1 else round(float(x), 1) for x in rng.random(100)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "p int, v double")
+    got = {r.p: r.n for r in rr.not_above_so_far(df, "p", "v", "n").collect()}
+    assert got == {i: sum(y is not None and y <= x for y in v[: i + 1]) for i, x in enumerate(v) if x is not None}

@@ -155,14 +155,14 @@ def streamed_upsert(t: Tables):
     root = scratch(t, "stream")
     old, new = versions(t)
     for i, part in enumerate((old, new)):
-        part.withColumn("arrival", F.lit(i)).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        part.withColumn("arrival", F.lit(i)).write.mode("append").parquet(f"{root}/in")
     source = (
         t.spark.readStream.schema("code string, trade_date date, total double, n long, arrival int")
         .option("maxFilesPerTrigger", 1)
         .parquet(f"{root}/in")
     )
-    st.stream_upsert(source, f"{root}/out", f"{root}/chk", order="arrival").awaitTermination()
-    return st.read_target(t.spark, f"{root}/out")
+    st.stream_upsert(source, f"{root}/out", f"{root}/chk", order="arrival", fold_every=3).awaitTermination()
+    return st.read_target(t.spark, f"{root}/out", order="arrival")
 
 
 @checked(

@@ -15,7 +15,7 @@ from tidepanel.functions import text as tx
 from tidepanel.functions.codes import normalize_ts_code, zfill
 from tidepanel.operators.calendar import snap_to_trading_day
 from tidepanel.plans.staging import stage
-from tidepanel.schemas import require_none
+from tidepanel.schemas import DataContractError, require_none
 
 # Table and sheet wording, headings, and index codes.
 ADDED, REMOVED = "调入", "调出"
@@ -23,6 +23,8 @@ LIST_HEADING = r"沪深\s*300\s*指数样本调整名单[：:]?"
 NEXT_HEADING = r"中证\s*500\s*指数样本调整名单"
 INDEX_CODES = ("000300", "399300")
 
+# The override list is written by hand and becomes one expression.
+MOST_OVERRIDES = 1000
 OVERRIDE_SCHEMA = "listed_code string, day date, remove string, add string, source string"
 
 
@@ -156,7 +158,9 @@ def delisting_overrides(
             F.lit(True),
             "override day is not a trading day",
         )
-    entries = overrides.collect()
+    entries = overrides.limit(MOST_OVERRIDES + 1).collect()
+    if len(entries) > MOST_OVERRIDES:
+        raise DataContractError(f"the hand-kept list has over {MOST_OVERRIDES} entries")
     fields = "struct<day:date,remove:string,add:string,source:string>"
     choice = F.lit(None).cast(fields)
     for e in reversed(entries):

@@ -32,6 +32,28 @@ TOP_K = 5
 POOL_K = 15
 
 
+def not_above_so_far(rows: DataFrame, position: str, value: str, out: str) -> DataFrame:
+    """How many rows up to each position (from 0) have a value not above its own.
+
+    An earlier and a later position stand on the two sides of exactly one node of a
+    binary tree over positions, so counts at its nodes add up: n log n rows in all.
+    """
+    levels = F.sequence(F.lit(0), F.lit(30))
+    sides = (
+        rows.where(F.col(value).isNotNull())
+        .select(F.col(position).alias("_p"), F.col(value).alias("_v"), F.explode(levels).alias("_level"))
+        .withColumns(
+            {"_node": F.expr("shiftright(_p, _level + 1)"), "_later": F.expr("shiftright(_p, _level) & 1") == 1}
+        )
+    )
+    upto = Window.partitionBy("_level", "_node").orderBy("_v").rangeBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    earlier = F.sum(F.when(F.col("_later"), 0).otherwise(1)).over(upto)
+    counted = sides.withColumn("_n", F.when(F.col("_later"), earlier).otherwise(0))
+    return counted.groupBy(F.col("_p").alias(position)).agg((F.sum("_n") + 1).alias(out))
+
+
 def regime_metrics(daily: DataFrame) -> DataFrame:
     """Readings of the rule from the date-level market table.
 
@@ -44,9 +66,10 @@ def regime_metrics(daily: DataFrame) -> DataFrame:
     breadth, ret = F.col("breadth_positive"), F.col("market_return")
     volatile = daily.withColumn(
         "_vol", F.when(F.count(ret).over(twenty) == 20, F.stddev_pop(ret).over(twenty))
-    ).withColumn("_past", F.collect_list("_vol").over(history))
-    rank = F.size(F.filter("_past", lambda v: v <= F.col("_vol"))) / F.size("_past")
-    return volatile.select(
+    ).withColumns({"_known": F.count("_vol").over(history), "_at": F.row_number().over(days) - 1})
+    ranked = volatile.join(not_above_so_far(volatile, "_at", "_vol", "_not_above"), "_at", "left")
+    rank = F.col("_not_above") / F.col("_known")
+    return ranked.select(
         "trade_date",
         breadth.alias("breadth_today"),
         F.when(

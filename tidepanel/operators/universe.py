@@ -328,49 +328,49 @@ def infer_events(
     ``official`` lists ``effective_date``, ``source`` and ``expected_changes``.
     Both sides of the diff must have the announced size.
     """
-    result = events
-    for spec in official:
-        day = F.lit(spec["effective_date"]).cast("date")
-        if result.where(F.col("effective_date") == day).limit(1).count():
-            continue
-        row = snapshots.agg(
-            F.max(F.when(F.col("trade_date") < day, F.col("trade_date"))).alias("before"),
-            F.min(F.when(F.col("trade_date") >= day, F.col("trade_date"))).alias("after"),
-        ).first()
-        if row["before"] is None or row["after"] is None:
-            raise DataContractError(f"{spec['effective_date']}: no snapshot on both sides")
-        sides = {
-            name: snapshots.where(F.col("trade_date") == F.lit(row[name]))
-            .select(normalize_ts_code(F.col("con_code")).alias("con_code"))
-            .distinct()
-            for name in ("before", "after")
+    spark = events.sparkSession
+    given = [(str(o["effective_date"]), o["source"], int(o["expected_changes"])) for o in official]
+    specs = spark.createDataFrame(given, "day string, source string, expected long").withColumn("day", F.col("day").cast("date"))
+    parsed = events.select(F.col("effective_date").alias("day")).distinct()
+    open_specs = specs.join(parsed, "day", "left_anti")
+    # Announced days between the snapshot dates around them; as short as the calendar.
+    dates = snapshots.select(F.col("trade_date").alias("day")).distinct()
+    line = dates.select("day", F.col("day").alias("snap"), F.lit(1).alias("kind")).unionByName(
+        open_specs.select("day", "source", "expected", F.lit(0).alias("kind")), allowMissingColumns=True
+    )
+    order = Window.orderBy("day", "kind")
+    placed = line.withColumns(
+        {
+            "before": F.last("snap", True).over(order.rowsBetween(Window.unboundedPreceding, -1)),
+            "after": F.first("snap", True).over(order.rowsBetween(1, Window.unboundedFollowing)),
         }
-        source = f"{spec['source']};{row['before']}->{row['after']}"
-        found = (
-            sides["before"].join(sides["after"], "con_code", "left_anti")
-            .withColumn("action", F.lit("remove"))
-            .unionByName(
-                sides["after"].join(sides["before"], "con_code", "left_anti")
-                .withColumn("action", F.lit("add"))
-            )
-            .select(
-                day.alias("effective_date"),
-                "con_code",
-                "action",
-                F.lit(source).alias("source_announcement"),
-            )
+    ).where("kind = 0").select("day", "source", "expected", "before", "after")
+    codes = snapshots.select("trade_date", normalize_ts_code(F.col("con_code")).alias("con_code")).distinct()
+    side = lambda name: placed.select("day", F.col(name).alias("trade_date")).join(codes, "trade_date").select("day", "con_code", F.lit(True).alias(name))
+    changes = (
+        side("before").join(side("after"), ["day", "con_code"], "full")
+        .where(F.col("before").isNull() | F.col("after").isNull())
+        .select("day", "con_code", F.when(F.col("after").isNull(), "remove").otherwise("add").alias("action"))
+    )
+    sizes = changes.groupBy("day").agg(
+        F.count_if(F.col("action") == "remove").alias("removed"), F.count_if(F.col("action") == "add").alias("added")
+    )
+    wrong = placed.join(sizes, "day", "left").where(
+        F.col("before").isNull() | F.col("after").isNull()
+        | ~F.col("removed").eqNullSafe(F.col("expected")) | ~F.col("added").eqNullSafe(F.col("expected"))
+    ).orderBy("day").first()
+    if wrong is not None:
+        if wrong["before"] is None or wrong["after"] is None:
+            raise DataContractError(f"{wrong['day']}: no snapshot on both sides")
+        raise DataContractError(
+            f"{wrong['day']}: announced {wrong['expected']} changes, "
+            f"snapshots show {wrong['removed'] or 0} out and {wrong['added'] or 0} in"
         )
-        sizes = found.agg(
-            F.count_if(F.col("action") == "remove").alias("removed"),
-            F.count_if(F.col("action") == "add").alias("added"),
-        ).first()
-        if {sizes["removed"], sizes["added"]} != {spec["expected_changes"]}:
-            raise DataContractError(
-                f"{spec['effective_date']}: announced {spec['expected_changes']} changes, "
-                f"snapshots show {sizes['removed']} out and {sizes['added']} in"
-            )
-        result = result.unionByName(found)
-    return dedupe_events(result)
+    source = F.concat_ws("", "source", F.lit(";"), F.col("before").cast("string"), F.lit("->"), F.col("after").cast("string"))
+    found = changes.join(placed, "day").select(
+        F.col("day").alias("effective_date"), "con_code", "action", source.alias("source_announcement")
+    )
+    return dedupe_events(events.unionByName(found))
 
 
 def dedupe_events(events: DataFrame) -> DataFrame:

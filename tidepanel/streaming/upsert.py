@@ -1,8 +1,10 @@
 """Micro-batch form of the keep-last upsert.
 
-Every batch is merged into the current version of a parquet table and written
-as the next version, named by the batch. A batch that is retried after a lost
-driver writes the same version again, so each batch counts once.
+A batch writes only its own rows, as the delta ``v=<batch>``; readers take the
+newest row of each key over the base and the deltas after it. Every few batches
+the deltas fold into a new base, and what it replaces is deleted once the base is
+complete. A batch that is retried after a lost driver writes the same delta
+again, so each batch counts once.
 """
 
 from __future__ import annotations
@@ -10,37 +12,70 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidepanel.sources.ingest import upsert_keep_last
 
+FOLD_EVERY = 20
 
-def _version(spark: SparkSession, target: str, before: int | None = None) -> str | None:
-    """Path of the newest complete version, or of the newest before ``before``."""
+
+def _complete(spark: SparkSession, target: str, kind: str) -> list[int]:
+    """Numbers of the complete folders ``<kind>=<n>``, rising."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(target)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(root):
-        return None
-    versions = [
-        int(status.getPath().getName().removeprefix("v="))
-        for status in fs.listStatus(root)
-        if status.getPath().getName().startswith("v=")
-        and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
-    ]
-    usable = [v for v in versions if before is None or v < before]
-    return f"{target}/v={max(usable)}" if usable else None
+        return []
+    named = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith(f"{kind}=")]
+    done = [p for p in named if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().split("=")[1]) for p in done)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def read_target(
+    spark: SparkSession, target: str, keys: Sequence[str] = ("code", "trade_date"), order: str | None = None, upto: int | None = None
+) -> DataFrame:
+    """The newest row of each key, up to a batch if one is given."""
+    bases = [b for b in _complete(spark, target, "base") if upto is None or b <= upto]
+    base = bases[-1] if bases else -1
+    deltas = [v for v in _complete(spark, target, "v") if v > base and (upto is None or v <= upto)]
+    paths = [f"{target}/base={base}"] * bool(bases) + [f"{target}/v={v}" for v in deltas]
+    parts = [spark.read.parquet(p).withColumn("_batch", F.lit(i)) for i, p in enumerate(paths)]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    values = [c for c in whole.columns if c not in (*keys, "_batch")]
+    rank = F.struct("_batch", *([order] if order else []), *values)
+    newest = whole.groupBy(*keys).agg(F.max_by(F.struct(*values), rank).alias("_row"))
+    cols = [c for c in whole.columns if c != "_batch"]
+    return newest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in values]).select(*cols)
+
+
+def fold(spark: SparkSession, target: str, batch: int, keys: Sequence[str], order: str | None = None) -> None:
+    """Fold everything up to ``batch`` into a base, then delete what it replaces."""
+    read_target(spark, target, keys, order, batch).write.mode("overwrite").parquet(f"{target}/base={batch}")
+    for kind, last in (("base", batch - 1), ("v", batch)):
+        for n in _complete(spark, target, kind):
+            if n <= last:
+                _delete(spark, f"{target}/{kind}={n}")
 
 
 def merge_batch(
-    target: str, keys: Sequence[str], order: str | None = None
+    target: str, keys: Sequence[str], order: str | None = None, fold_every: int = FOLD_EVERY
 ) -> Callable[[DataFrame, int], None]:
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        current = _version(spark, target, before=batch_id)
-        existing = spark.read.parquet(current) if current else batch.limit(0)
-        merged = upsert_keep_last(existing, batch, tuple(keys), order)
-        merged.write.mode("overwrite").parquet(f"{target}/v={batch_id}")
+        if batch_id in _complete(spark, target, "base"):
+            return  # retried after its rows were folded
+        own = upsert_keep_last(batch.limit(0), batch, tuple(keys), order)
+        own.write.mode("overwrite").parquet(f"{target}/v={batch_id}")
+        if (batch_id + 1) % fold_every == 0:
+            fold(spark, target, batch_id, keys, order)
 
     return merge
 
@@ -51,15 +86,12 @@ def stream_upsert(
     checkpoint: str,
     keys: Sequence[str] = ("code", "trade_date"),
     order: str | None = None,
+    fold_every: int = FOLD_EVERY,
 ) -> StreamingQuery:
     """Start the upsert over everything available and return the query."""
     return (
-        source.writeStream.foreachBatch(merge_batch(target, keys, order))
+        source.writeStream.foreachBatch(merge_batch(target, keys, order, fold_every))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
-
-
-def read_target(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.parquet(_version(spark, target))
