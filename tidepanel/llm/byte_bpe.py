@@ -31,6 +31,8 @@ from pyspark.sql import types as T
 
 from tidepanel.llm import words as w
 
+#: Ids decoded in one go.
+DECODED_IDS = 1 << 17
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 # The white space of Unicode's White_Space property.
@@ -254,7 +256,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, most: int, stretch: i
 
 
 def encode(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = RANKS, cache_pieces: int = 200_000, stretch: int = 2 << 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = RANKS, cache_pieces: int = 100_000, stretch: int = 1 << 19
 ) -> DataFrame:
     """doc_id, ``ids`` (token ids of the whole text) and ``piece_offsets`` (code
     point at which each pre-token starts). ``path``: a rank file that every worker
@@ -274,13 +276,15 @@ def bytes_of(ids: np.ndarray, path: str = RANKS) -> np.ndarray:
 def _decoded(batches: Iterator[pa.RecordBatch], path: str):
     sizes = _pieces(path)[2]
     for batch in batches:
-        ids = batch.column("ids")
-        flat = ids.flatten().to_numpy(zero_copy_only=False)
-        cuts = np.concatenate(([0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
-        ends = np.concatenate(([0], np.cumsum(sizes[flat])))[cuts]
-        data = bytes_of(flat, path)
-        out = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
-        yield pa.RecordBatch.from_arrays([*batch.columns, out.cast(pa.binary())], [*batch.schema.names, "decoded"])
+        n = batch.column("ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        for lo, hi in w.chunks(np.concatenate(([0], np.cumsum(n, dtype=np.int64))), DECODED_IDS):
+            part = batch.slice(lo, hi - lo)
+            flat = part.column("ids").flatten().to_numpy(zero_copy_only=False)
+            cuts = np.concatenate(([0], np.cumsum(n[lo:hi], dtype=np.int64)))
+            ends = np.concatenate(([0], np.cumsum(sizes[flat], dtype=np.int64)))[cuts]
+            data = bytes_of(flat, path)
+            out = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([*part.columns, out.cast(pa.binary())], [*part.schema.names, "decoded"])
 
 
 def decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:
