@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from pyspark.sql import functions as F
 
@@ -75,3 +77,28 @@ def test_null_paths_and_empty_table(spark):
     assert sorted(len(r.spans) for r in got) == [0, 1]
     empty = sl.Ledger(spark, new_path(spark, "t"))
     assert sl.spans_of_paths(empty.scan(spark.createDataFrame([], SCHEMA)), empty.findings()).collect() == []
+
+
+def test_nothing_of_a_private_key_survives(spark):
+    rng = random.Random(6)
+    lines = ["".join(rng.choices(string.ascii_letters + string.digits + "+/", k=64)) for _ in range(40)] + ["q7Zk/w=="]
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    sealed = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C3D4E5F\n\n"
+    whole = [
+        "\n".join([head, *lines, end]), "\r\n".join([head, *lines, end]), " ".join([head, *lines, end]), "\\n".join([head, *lines, end]),
+        "\n".join("> " + x for x in [head, *lines, end])[2:], head + "\n" + sealed + "\n".join([*lines, end]), head + "".join(lines) + end,
+        "\n".join([head, *["x" * 64] * 20_000, *lines, end]),
+    ]
+    cut = ["\n".join([head, *lines]), "\n".join([head, *lines])[:-70], head + "\nq7Z", " ".join([head, *lines]), head + "\n" + sealed + "\n".join(lines), "\n".join([head, *lines, "-----END RSA"])]
+    cut += ["\\n".join([head, *lines]), "\n".join([head, *lines, "", "and so on"]), "\n".join([head, *lines, whole[0]])]
+    texts = [f"é before\n{x}\nafter it" for x in whole] + [f"é before\n{x}" for x in cut] + [f"see {head} in prose"]
+    ledger = sl.Ledger(spark, new_path(spark, "t"))
+    docs = frame(spark, texts)
+    paths = sl.spans_of_paths(ledger.scan(docs), ledger.findings())
+    got = [r.text for r in sl.redact(docs, paths).orderBy("doc_id").collect()]
+    assert got[: len(whole)] == ["é before\n[private_key]\nafter it"] * len(whole)
+    for text in got[len(whole) : -1]:
+        assert text.startswith("é before\n[private_key]") and "q7Z" not in text
+        assert not any(x[i : i + 4] in text for x in lines for i in range(len(x) - 3))
+    assert got[-3].endswith("\n\nand so on") and got[-1] == "see [private_key] in prose"
+    assert sl.digests(paths).where("doc_id = 0").first().spans == brute(texts[0])

@@ -47,9 +47,19 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, r"AKIA[A-Z0-9]{16}"),
     Rule("hex", r"[0-9a-f]+", 0, 24, r"[0-9a-f]{24}"),
 )
+# A PEM key runs to its END line. Where that is missing (the text is cut
+# off), to the last line of base64: quoted, escaped or indented lines of 16 and more,
+# and a shorter one that ends the line or the text. Possessive, so nothing backtracks.
+KEY_HEADER = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+KEY_BODY = (
+    r"(?:(?:[^-]|-(?!----))*+-{5,}END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:[\s\\nr]*+(?:Proc-Type:\s*+4,ENCRYPTED|DEK-Info:\s*+[A-Z0-9-]++,[0-9A-Fa-f]++))*+"
+    r"""(?:[\s\\>#|*"',;+/]*+[A-Za-z0-9+/=]{16,}+)*+"""
+    r"""(?:[\s\\>#|*"',;]++[A-Za-z0-9+/=]++(?=["',;]*+[\r\n\\]|\s*+-|\s*+(?![\s\S])))?+)"""
+)
 # Published formats of well-known credentials.
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", KEY_HEADER + KEY_BODY, 0, 1, KEY_HEADER),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("git_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
