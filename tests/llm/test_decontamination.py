@@ -67,3 +67,12 @@ def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "item_id long, text string")
     assert d.judge(docs, items).collect() == []
     assert d.judge(spark.createDataFrame([(1, "a", "")], SCHEMA), items).collect()[0].hits == []
+
+
+def test_calls_of_one_session_keep_their_own_items(spark, monkeypatch):
+    # Addresses of dead objects come again; here all objects have the same.
+    monkeypatch.setattr(d, "id", lambda _: 7, raising=False)
+    docs = spark.createDataFrame([(1, "one two three four five six", ""), (2, "seven eight nine tan eleven", "")], SCHEMA).coalesce(1)
+    tables = [spark.createDataFrame([x], "item_id long, text string") for x in [(10, "two three four five"), (20, "eight nine ten eleven")]]
+    for items, rate, want in [(tables[0], 0.08, [(1, 10)]), (tables[1], 0.08, [(2, 20)]), (tables[1], 0.0, []), (tables[0], 0.0, [(1, 10)])]:
+        assert [(r.doc_id, h.item_id) for r in d.judge(docs, items, rate=rate).collect() for h in r.hits] == want

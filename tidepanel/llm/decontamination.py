@@ -18,6 +18,7 @@ that repeat are judged alike. ``hits`` must not be a column of the documents.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -129,7 +130,7 @@ class Matcher:
             yield lo, hi
 
 
-_built: dict[int, Matcher] = {}
+_built: dict[str, Matcher] = {}
 
 
 def _matcher(block, rate: float) -> Matcher:
@@ -167,10 +168,11 @@ def judge(docs: DataFrame, items: DataFrame, text_col: str = "text", rate: float
     known = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     n_blocks = -(-known.count() // block_items)
     dealt = known.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n_blocks))))
-    blocks = []
+    # Workers outlive a call: no other call, of other items or another rate, has this key.
+    blocks, call = [], uuid.uuid4().hex
     for b in range(n_blocks):
         rows = sorted((r.item_id, r.text) for r in dealt.where(F.col("block") == b).collect())
-        blocks.append(_Block(f"{spark.sparkContext.applicationId}-{id(dealt)}-{b}", spark.sparkContext.broadcast(rows)))
+        blocks.append(_Block(f"{call}-{b}", spark.sparkContext.broadcast(rows)))
     column = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField("hits", T.ArrayType(T._parse_datatype_string(f"struct<{HIT}>")))])
     return docs.mapInArrow(lambda x: _judged(x, blocks, column, rate), schema)
