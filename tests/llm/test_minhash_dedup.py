@@ -94,3 +94,16 @@ def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 40)] + [(50, 50)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, **{i: 7 for i in range(7, 40)}}
+
+
+def test_texts_of_a_repeated_id_link_their_components(spark):
+    rng = random.Random(11)
+    a, b = text(rng, 80), text(rng, 80)
+    near = " ".join([*b[:-1], "other"])
+    a, b = " ".join(a), " ".join(b)
+    rows = [(2, a, ""), (5, a, ""), (5, b, ""), (5, "", ""), (3, near, ""), (7, " ".join(text(rng, 80)), ""), (None, a, ""), (7, "", "")]
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id is not None) == [
+        (2, 2, True), (3, 2, False), (5, 2, False), (5, 2, False), (5, 2, False), (7, 7, True), (7, 7, True),
+    ]
+    assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]

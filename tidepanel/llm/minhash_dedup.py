@@ -284,11 +284,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     long = mixed.where(F.col("length") > SHORT_LIST)
     if long.head(1):
         more = more.unionByName(search.within_families(long))
-    if more.head(1):
-        found = written(components(links.unionByName(more)), "components")
+    # An id of several rows links the sets of all its texts.
+    repeated = search.rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").select("doc_id")
+    texts = search.rows.where("n_shingles > 0").join(repeated, "doc_id").join(search.first, "print")
+    shared = written(texts.select(F.col("doc_id").alias("a"), F.col("doc").alias("b")).distinct(), "shared")
+    if more.head(1) or shared.head(1):
+        found = written(components(links.unionByName(more).unionByName(shared)), "components")
     named = search.first.join(found, F.col("doc") == F.col("node"), "left").select("print", F.coalesce("component", "doc").alias("component_id"))
     # Rows of one id share the smallest component that any of its texts reaches.
     rows = search.rows.select("doc_id", "n_shingles", "print").join(named, "print", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id"))
+    if shared.head(1):
+        by_id = shared.select(F.col("a").alias("node")).distinct().join(found, "node")
+        rows = rows.join(by_id, F.col("doc_id") == F.col("node"), "left")
+        own = F.coalesce("component", own)
     out = F.when(F.col("doc_id").isNotNull(), F.coalesce(own, "doc_id"))
     return rows.select("doc_id", "n_shingles", out.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
