@@ -11,6 +11,7 @@ from tidepanel.llm import (
     byte_bpe,
     common,
     decontamination,
+    fill_middle,
     html_template,
     minhash_dedup,
     pitman_yor,
@@ -143,3 +144,38 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     forest = quality_rules.train(docs, table(spark, folder, "labels"))
     return quality_rules.judge(docs, forest)
+
+
+@query(
+    r"""
+WITH base AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id::VARCHAR) AS hx FROM documents
+), draws AS (
+  SELECT doc_id, t, n, ('0x' || substr(hx, 1, 8))::BIGINT % (n + 1) AS x, ('0x' || substr(hx, 9, 8))::BIGINT % (n + 1) AS y,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(hx, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+      WHEN ('0x' || substr(hx, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM base
+), cuts AS (
+  SELECT *, least(x, y) AS a, greatest(x, y) AS b FROM draws
+), parts AS (
+  SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1, n - b) AS suffix FROM cuts
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""
+)
+def op12_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fill_middle.transform(table(spark, folder, "documents"))
+    text = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(text.cast("binary"), 256).alias("restored_sha256"),
+    )
