@@ -14,6 +14,7 @@ from tidepanel.llm import (
     fill_middle,
     html_template,
     minhash_dedup,
+    packing,
     pitman_yor,
     quality_rules,
     secret_ledger,
@@ -179,3 +180,8 @@ def op12_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
         F.sha2(text.cast("binary"), 256).alias("restored_sha256"),
     )
+
+
+@query()
+def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
