@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm import (
     byte_bpe,
+    collocations,
     common,
     decontamination,
     fill_middle,
@@ -185,3 +186,37 @@ def op12_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
+
+
+@query(
+    r"""
+WITH cut AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, generate_subscripts(ps, 1) AS p, unnest(ps) AS piece FROM (
+    SELECT *, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents)
+), pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM cut
+), totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM pieces GROUP BY lang
+), grams AS (
+  SELECT lang, array_to_string(ws[i:i+m-1], ' ') AS phrase, any_value(m) AS m, count(*) AS f
+  FROM pieces, range(1, 6) AS t(m), unnest(range(1, len(ws) - m + 2)) AS u(i) WHERE len(ws) >= m GROUP BY 1, 2
+), frequent AS (SELECT *, string_split(phrase, ' ') AS ws FROM grams WHERE m >= 2 AND f >= 100
+), inside AS (
+  SELECT DISTINCT lang, array_to_string(ws[i:i+k-1], ' ') AS phrase, f
+  FROM frequent, range(2, 5) AS t(k), unnest(range(1, m - k + 2)) AS u(i) WHERE k < m
+), kept AS (
+  SELECT * FROM frequent c WHERE NOT EXISTS (SELECT 1 FROM inside d WHERE d.lang = c.lang AND d.phrase = c.phrase AND 100 * d.f >= 100 * c.f)
+), cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, x.f AS l, y.f AS r, t.n, (1000::HUGEINT * c.f * t.n) // (x.f::HUGEINT * y.f) AS score, k
+  FROM kept c JOIN totals t ON t.lang = c.lang, range(1, 5) AS s(k)
+  JOIN grams x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:k], ' ')
+  JOIN grams y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[k+1:], ' ')
+  WHERE k < c.m
+), lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n,
+  score::BIGINT AS score
+FROM lowest QUALIFY rank <= 2000
+"""
+)
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    found = collocations.collocations(table(spark, folder, "documents"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
