@@ -197,20 +197,25 @@ WITH cut AS (
   SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM cut
 ), totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM pieces GROUP BY lang
 ), grams AS (
-  SELECT lang, array_to_string(ws[i:i+m-1], ' ') AS phrase, any_value(m) AS m, count(*) AS f
-  FROM pieces, range(1, 6) AS t(m), unnest(range(1, len(ws) - m + 2)) AS u(i) WHERE len(ws) >= m GROUP BY 1, 2
-), frequent AS (SELECT *, string_split(phrase, ' ') AS ws FROM grams WHERE m >= 2 AND f >= 100
+  SELECT lang, phrase, any_value(m) AS m, count(*) AS f FROM (
+    SELECT lang, m, array_to_string(ws[i:i+m-1], ' ') AS phrase FROM (
+      SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM (SELECT lang, ws, unnest([1, 2, 3, 4, 5]) AS m FROM pieces WHERE len(ws) > 0))
+  ) GROUP BY lang, phrase HAVING count(*) >= 100
+), frequent AS (SELECT *, string_split(phrase, ' ') AS ws FROM grams WHERE m >= 2
 ), inside AS (
-  SELECT DISTINCT lang, array_to_string(ws[i:i+k-1], ' ') AS phrase, f
-  FROM frequent, range(2, 5) AS t(k), unnest(range(1, m - k + 2)) AS u(i) WHERE k < m
+  SELECT lang, array_to_string(ws[i:i+k-1], ' ') AS phrase, max(f) AS longer FROM (
+    SELECT *, unnest(range(1, m - k + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS k FROM frequent WHERE m > 2)
+  ) GROUP BY 1, 2
 ), kept AS (
-  SELECT * FROM frequent c WHERE NOT EXISTS (SELECT 1 FROM inside d WHERE d.lang = c.lang AND d.phrase = c.phrase AND 100 * d.f >= 100 * c.f)
+  SELECT c.* FROM frequent c LEFT JOIN inside d ON d.lang = c.lang AND d.phrase = c.phrase WHERE d.longer IS NULL OR 100 * d.longer < 100 * c.f
+), parts AS (
+  SELECT lang, phrase, f, k, array_to_string(ws[1:k], ' ') AS first_part, array_to_string(ws[k+1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM kept)
 ), cuts AS (
-  SELECT c.lang, c.phrase, c.f AS a, x.f AS l, y.f AS r, t.n, (1000::HUGEINT * c.f * t.n) // (x.f::HUGEINT * y.f) AS score, k
-  FROM kept c JOIN totals t ON t.lang = c.lang, range(1, 5) AS s(k)
-  JOIN grams x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:k], ' ')
-  JOIN grams y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[k+1:], ' ')
-  WHERE k < c.m
+  SELECT p.lang, p.phrase, p.f AS a, x.f AS l, y.f AS r, t.n, (1000::HUGEINT * p.f * t.n) // (x.f::HUGEINT * y.f) AS score, k
+  FROM parts p JOIN totals t ON t.lang = p.lang
+  JOIN grams x ON x.lang = p.lang AND x.phrase = p.first_part
+  JOIN grams y ON y.lang = p.lang AND y.phrase = p.rest
 ), lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n,
   score::BIGINT AS score
