@@ -546,6 +546,31 @@ def notice_table_events(t: Tables):
     return nt.html_table_events(dated.where(F.col("effective_date").isNotNull()))
 
 
+SPANNED = """SELECT n.id AS announcement_id, n.effective_date, lpad(CAST(n.user_id + v.shift AS VARCHAR), 6, '0') || v.suffix AS con_code, v.action
+FROM (SELECT *, CAST(gone AS BIGINT) AS user_id FROM notice) n,
+  (VALUES (0, '.SZ', 'remove'), (0, '.SZ', 'remove'), (1000, '.SZ', 'remove'), (600000, '.SH', 'add'), (300000, '.SZ', 'add'), (601000, '.SH', 'add')) v(shift, suffix, action)
+WHERE n.effective_date IS NOT NULL"""
+
+
+@checked("notice_spanned_events", "B7", "notice", SPANNED, EVENT_COLS)
+def notice_spanned_events(t: Tables):
+    """Tables whose cells reach over rows and columns: read cell by cell, two codes
+    would stand in the wrong column."""
+
+    def code(shift: int):
+        return zfill((F.col("gone").cast("long") + shift).cast("string"))
+
+    parts = [
+        "<table><tr><th rowspan=3>x</th></tr><tr><td>调出代码</td><td>名称</td><td>调入代码</td><td>名称</td></tr><tr><td rowspan='2'>", code(0),
+        "</td><td>甲</td><td>", code(600000), "</td><td rowspan=2>乙</td></tr><tr><td>丙</td><td><b>", code(300000),
+        "</b></td></tr><TR><TD ColSpan=\"2\">", code(1000), "</TD><TD colspan = 2>", code(601000), "</TD></TR></table>",
+    ]
+    spanned = notices(t).withColumn("table", F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]))
+    rows = spanned.withColumn("content", F.concat(F.substring_index("content", "<table", 1), "table"))
+    dated = nt.effective_dates(rows, notice_calendar(t))
+    return nt.html_table_events(dated.where(F.col("effective_date").isNotNull()))
+
+
 @checked("notice_text_events", "B8", "notice", _both("true"), EVENT_COLS)
 def notice_text_events(t: Tables):
     return nt.text_section_events(nt.effective_dates(notices(t), notice_calendar(t)))
@@ -600,6 +625,26 @@ def delisting_events(t: Tables):
     return nt.override_events(nt.delisting_overrides(dated, overrides(t), calendar))
 
 
+DELISTED_PARTS = """SELECT id AS announcement_id, DATE '2024-01-08' + CAST(CAST(gone AS BIGINT) % 4 AS INTEGER) AS effective_date, u.action,
+  CASE WHEN u.action = 'remove' THEN gone || '.SZ' ELSE lpad(CAST(688000 + k AS VARCHAR), 6, '0') || '.SH' END AS con_code
+FROM notice, (SELECT CAST(p_partkey AS BIGINT) AS code, min(p_size) AS k FROM part GROUP BY 1) p, (VALUES ('remove'), ('add')) u(action)
+WHERE kind = 3 AND code = CAST(gone AS BIGINT)"""
+
+
+@checked("delisting_events_by_list", "B10", "notice", DELISTED_PARTS, EVENT_COLS)
+def delisting_events_by_list(t: Tables):
+    """A list with an entry for every part, and a later one for each that must not apply."""
+    code = zfill(F.col("p_partkey").cast("string"))
+    day = F.date_add(F.lit(date(2024, 1, 8)), (F.col("p_partkey") % 4).cast("int"))
+    add = F.concat((F.col("p_size") + 688000).cast("string"), F.lit(".SH"))
+    entry = [code.alias("listed_code"), day.alias("day"), F.concat(code, F.lit(".SZ")).alias("remove"), add.alias("add"), F.lit("list").alias("source")]
+    first = t.read("part").select(*entry, F.lit(1).alias("position"))
+    later = first.withColumns({"add": F.lit("688999.SH"), "position": F.lit(2)})
+    bare = notices(t).withColumn("content", F.substring_index("content", "<table", 1))
+    dated = nt.effective_dates(bare, notice_calendar(t))
+    return nt.override_events(nt.delisting_overrides(dated, later.unionByName(first), notice_calendar(t)))
+
+
 @checked(
     "announcement_events",
     "A4, B3-B10",

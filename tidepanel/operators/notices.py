@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from tidepanel.functions import text as tx
 from tidepanel.functions.codes import normalize_ts_code, zfill
 from tidepanel.operators.calendar import snap_to_trading_day
+from tidepanel.plans.extent import BROADCAST_ROWS
 from tidepanel.plans.staging import stage
-from tidepanel.schemas import DataContractError, require_none
+from tidepanel.schemas import require_none
 
 # Table and sheet wording, headings, and index codes.
 ADDED, REMOVED = "调入", "调出"
@@ -23,8 +24,10 @@ LIST_HEADING = r"沪深\s*300\s*指数样本调整名单[：:]?"
 NEXT_HEADING = r"中证\s*500\s*指数样本调整名单"
 INDEX_CODES = ("000300", "399300")
 
-# The override list is written by hand and becomes one expression.
-MOST_OVERRIDES = 1000
+# The spans that HTML allows at most.
+MOST_ROWS, MOST_COLUMNS = 65_534, 1_000
+LINE = "array<struct<text:string,left:int>>"
+
 OVERRIDE_SCHEMA = "listed_code string, day date, remove string, add string, source string"
 
 
@@ -55,15 +58,87 @@ def in_reach(notices: DataFrame, start, end) -> DataFrame:
     return notices.where(F.col("effective_date").between(F.add_months(start, -3), end))
 
 
+def _span(cell: Column, name: str, most: int) -> Column:
+    """A span attribute of a cell's opening tag; 1 where there is none or no number."""
+    told = F.regexp_extract(cell, rf"(?is)^<[^>]*?\s{name}\s*=\s*[\"']?\s*(\d+)", 1)
+    # least() passes over null: digits beyond a long are over the limit as well.
+    return F.when(told == "", F.lit(1)).otherwise(F.least(told.try_cast("bigint"), F.lit(most)).cast("int"))
+
+
 def _cells(row: Column) -> Column:
-    inner = F.regexp_extract_all(row, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1))
-    return F.transform(inner, lambda c: F.trim(F.regexp_replace(c, r"<[^>]+>", " ")))
+    """Text of each cell, the rows it reaches down and the columns it takes."""
+    found = F.regexp_extract_all(row, F.lit(r"(?is)<t[dh](?:\s[^>]*)?>.*?</t[dh]>"), F.lit(0))
+    return F.transform(
+        found,
+        lambda c: F.struct(
+            F.trim(F.regexp_replace(c, r"<[^>]+>", " ")).alias("text"),
+            _span(c, "rowspan", MOST_ROWS).alias("down"),
+            _span(c, "colspan", MOST_COLUMNS).alias("across"),
+        ),
+    )
+
+
+def _place(claims: Column):
+    """Fold step within a row: claims from above take their columns as soon as a cell
+    would start at or behind them, then the cell takes its own."""
+
+    def step(acc: Column, cell: Column) -> Column:
+        width = F.size(acc["line"])
+        open_ = F.slice(claims, acc["used"] + 1, F.size(claims))
+        due = F.transform(open_, lambda c, i: c["col"] <= width + i)
+        stop = F.array_position(due, False).cast("int")
+        n = F.when(stop > 0, stop - 1).otherwise(F.size(open_))
+        own = F.struct(cell["text"].alias("text"), (cell["down"] - 1).alias("left"))
+        return F.struct(
+            F.concat(acc["line"], _claimed(F.slice(open_, 1, n)), F.array_repeat(own, cell["across"])).alias("line"),
+            (acc["used"] + n).alias("used"),
+        )
+
+    return step
+
+
+def _claimed(claims: Column) -> Column:
+    return F.transform(claims, lambda c: F.struct(c["text"].alias("text"), (c["left"] - 1).alias("left")))
+
+
+def _row(acc: Column, cells: Column) -> Column:
+    """Fold step over rows: ``line`` is the last row with what each column leaves below."""
+    numbered = F.transform(
+        acc["line"], lambda x, i: F.struct(i.alias("col"), x["text"].alias("text"), x["left"].alias("left"))
+    )
+    claims = F.filter(numbered, lambda c: c["left"] > 0)
+    start = F.struct(F.array().cast(LINE).alias("line"), F.lit(0).alias("used"))
+    line = F.aggregate(
+        cells,
+        start,
+        _place(claims),
+        lambda done: F.concat(done["line"], _claimed(F.slice(claims, done["used"] + 1, F.size(claims)))),
+    )
+    return F.struct(F.concat(acc["grid"], F.array(line["text"])).alias("grid"), line.alias("line"))
+
+
+def _below(line: Column) -> Column:
+    """Rows that only claims make, beneath the last row of the table."""
+    deepest = F.coalesce(F.array_max(line["left"]), F.lit(0))
+    rows = F.when(deepest > 0, F.sequence(F.lit(1), deepest)).otherwise(F.array().cast("array<int>"))
+    return F.transform(rows, lambda k: F.transform(F.filter(line, lambda x: x["left"] >= k), lambda x: x["text"]))
+
+
+def spanned_grid(rows: Column) -> Column:
+    """Texts by row and column of cells ``array<array<struct<text, down, across>>>``.
+
+    A cell that reaches down claims its columns of the rows below; each row is folded
+    cell by cell over the claims from above. Spans stand repeated in every place."""
+    start = F.struct(F.array().cast("array<array<string>>").alias("grid"), F.array().cast(LINE).alias("line"))
+    return F.aggregate(rows, start, _row, lambda done: F.concat(done["grid"], _below(done["line"])))
 
 
 def _table_cells(table: Column) -> Column:
     """Rows of cell texts. Rows of header cells only name columns and are left out."""
     rows = F.regexp_extract_all(table, F.lit(r"(?is)<tr[^>]*>.*?</tr>"), F.lit(0))
-    return F.transform(F.filter(rows, lambda r: r.rlike(r"(?i)<td")), _cells)
+    cells = F.transform(F.filter(rows, lambda r: r.rlike(r"(?i)<td")), _cells)
+    plain = F.transform(cells, lambda r: F.transform(r, lambda c: c["text"]))
+    return F.when(table.rlike(r"(?i)\s(?:row|col)span\s*="), spanned_grid(cells)).otherwise(plain)
 
 
 def _table_codes(data: Column) -> Column:
@@ -99,6 +174,8 @@ def _as_events(found: DataFrame, source: str) -> DataFrame:
 def html_table_events(notices: DataFrame, source: str = "announcement_id") -> DataFrame:
     """Codes of the first table that lists removals and additions."""
     tables = F.regexp_extract_all("content", F.lit(r"(?is)<table.*?</table>"), F.lit(0))
+    # Wording that a tag cuts in two counts nowhere, so plain search rules tables out.
+    tables = F.filter(tables, lambda t: F.contains(t, F.lit(ADDED)) & F.contains(t, F.lit(REMOVED)))
     # The cells are a column of their own, so they are taken apart only once.
     read = notices.withColumn("_cells", F.transform(tables, _table_cells))
     hits = F.filter(F.transform("_cells", _table_codes), lambda t: F.size(t) > 0)
@@ -144,13 +221,25 @@ def sheet_events(rows: DataFrame, source: str = "announcement_id") -> DataFrame:
     )
 
 
+def _listed_in(plain: Column, sizes: Sequence[int], digits: Sequence[int]) -> Column:
+    """All substrings of a text that could be a listed code, by the codes' lengths."""
+    runs = [F.regexp_extract_all(plain, F.lit(rf"(?=(\d{{{n}}}))"), F.lit(1)) for n in digits]
+    others = [
+        F.transform(F.sequence(F.lit(1), F.greatest(F.length(plain) - n + 1, F.lit(1))), lambda i, n=n: F.substr(plain, i, F.lit(n)))
+        for n in sizes
+    ]
+    return F.array_distinct(F.concat(F.array().cast("array<string>"), *runs, *others))
+
+
 def delisting_overrides(
     notices: DataFrame, overrides: DataFrame, calendar: DataFrame, check: bool = True
 ) -> DataFrame:
     """Fixed dates for notices that only refer to a delisting day.
 
-    ``overrides`` is a hand-kept list, read into expressions; the first listed
-    code found in the text applies, and its day must be a trading day.
+    ``overrides`` lists codes with a day each, any number of them; the first listed
+    code found anywhere in the text applies (by ``position`` if there is such a
+    column, else as the rows stand), and its day must be a trading day. Codes are
+    met by a join on the substrings of the text that have their length.
     """
     if check:
         require_none(
@@ -158,25 +247,24 @@ def delisting_overrides(
             F.lit(True),
             "override day is not a trading day",
         )
-    entries = overrides.limit(MOST_OVERRIDES + 1).collect()
-    if len(entries) > MOST_OVERRIDES:
-        raise DataContractError(f"the hand-kept list has over {MOST_OVERRIDES} entries")
-    fields = "struct<day:date,remove:string,add:string,source:string>"
-    choice = F.lit(None).cast(fields)
-    for e in reversed(entries):
-        choice = F.when(
-            F.contains("plain", F.lit(e["listed_code"])),
-            F.struct(
-                F.lit(e["day"]).alias("day"),
-                F.lit(e["remove"]).alias("remove"),
-                F.lit(e["add"]).alias("add"),
-                F.lit(e["source"]).alias("source"),
-            ),
-        ).otherwise(choice)
-    applies = F.col("effective_date").isNull() & F.contains("plain", F.lit(tx.DELISTING))
-    return notices.withColumn("override", F.when(applies, choice)).withColumn(
-        "effective_date", F.coalesce("effective_date", "override.day")
-    )
+        require_none(overrides, F.col("listed_code") == "", "override without a code")
+    order = F.col("position") if "position" in overrides.columns else F.monotonically_increasing_id()
+    entry = F.struct("day", "remove", "add", "source").alias("override")
+    ordered = overrides.where(F.length("listed_code") > 0).select(F.col("listed_code").alias("_code"), order.alias("_order"), entry)
+    listed = stage(ordered.groupBy("_code").agg(F.min_by("override", "_order").alias("override"), F.min("_order").alias("_order")), "overrides")
+    shapes = listed.select(F.length("_code").alias("n"), F.col("_code").rlike(r"^\d+$").alias("d")).distinct().collect()
+    digits, sizes = ([r["n"] for r in shapes if r["d"] == x] for x in (True, False))
+    if listed.count() <= BROADCAST_ROWS:
+        listed = F.broadcast(listed)
+
+    applies = F.coalesce(F.col("effective_date").isNull() & F.contains("plain", F.lit(tx.DELISTING)), F.lit(False))
+    # Equal texts share their answer, so texts are told apart by hash and need no key.
+    asked = notices.where(applies).withColumn("_text", F.sha2("plain", 256))
+    found = asked.select("_text", F.explode(_listed_in(F.col("plain"), sizes, digits)).alias("_code")).join(listed, "_code")
+    first = found.groupBy("_text").agg(F.min_by("override", "_order").alias("override"))
+    answered = asked.join(first, "_text", "left").drop("_text")
+    answered = answered.withColumn("effective_date", F.col("override.day"))
+    return answered.unionByName(notices.where(~applies), allowMissingColumns=True)
 
 
 def override_events(notices: DataFrame, source: str = "announcement_id") -> DataFrame:
