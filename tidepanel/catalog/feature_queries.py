@@ -12,10 +12,15 @@ from tidepanel.catalog.registry import checked
 from tidepanel.operators import features as ft
 from tidepanel.operators import market as mk
 from tidepanel.operators import scaling
+from tidepanel.operators.panel import contest_label
 
 KEYS = "code trade_date"
 
 
+def labelled_panel(t: Tables):
+    return contest_label(t.panel, "contest_label")
+
+
 def _feature(name: str, rows: str, columns: str) -> None:
     @checked(name, rows, "features", "SELECT * FROM features", KEYS, columns)
     def run(t: Tables):
@@ -37,6 +42,22 @@ _feature("passthrough_features", "E22-E24", "amplitude amount turnover")
 _feature("all_24_features", "E1-E24, B13", " ".join(ft.BASE24))
 
 
+@checked(
+    "restored_audit_columns",
+    "D12",
+    "features",
+    """SELECT f.code, f.trade_date, f."ROC5", p.is_member, p.is_suspended, p.is_tradable, p.in_signal_range, p.contest_label
+FROM features f JOIN featm p USING (code, trade_date)""",
+    f"{KEYS} is_member is_suspended is_tradable in_signal_range",
+    "ROC5 contest_label",
+)
+def restored_audit_columns(t: Tables):
+    """Features whose label and flags were filled like features, then taken from the panel again."""
+    panel = labelled_panel(t)
+    spoilt = panel.withColumn("contest_label", F.coalesce("contest_label", F.lit(0.0))).withColumn("is_member", F.lit(True))
+    return ft.restore_audit_columns(ft.baseline24(spoilt), panel, (*ft.AUDIT, "contest_label"))
+
+
 @checked(
     "warmup_gating",
     "E25, B12",

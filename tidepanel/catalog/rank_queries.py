@@ -12,6 +12,7 @@ from tidepanel.catalog.registry import checked
 from tidepanel.operators import crosssection as xs
 from tidepanel.operators import rerank as rr
 from tidepanel.operators import sequences as sq
+from tidepanel.operators.sequence_store import store_sequences
 from tidepanel.operators.features import BASE24
 from tidepanel.plans import extent as ex
 
@@ -421,3 +422,45 @@ def padded_batches(t: Tables):
 )
 def all_labelled_sequences(t: Tables):
     return flat(sq.all_labelled_sequences(labelled(t), SEQ, LENGTH))
+
+
+def store(t: Tables):
+    return store_sequences(labelled(t), SEQ, LENGTH, staged=True)
+
+
+@checked(
+    "sliding_sequences_from_blocks",
+    "G1",
+    "seqs",
+    f"SELECT code, trade_date, len(l0) AS steps, {FLAT} FROM seqs",
+    f"{KEYS} steps",
+    FLAT_COLS,
+)
+def sliding_sequences_from_blocks(t: Tables):
+    """Samples as block and offset, expanded when they are read."""
+    return flat(store(t).sliding_sequences())
+
+
+@checked(
+    "inference_sequences_from_blocks",
+    "G4",
+    "featm",
+    f"SELECT code, trade_date, {FLAT} FROM ({_last(LENGTH, 'is_tradable')}) WHERE trade_date = DATE '{SIGNAL_END}'",
+    KEYS,
+    FLAT_COLS,
+)
+def inference_sequences_from_blocks(t: Tables):
+    return flat(store(t).inference_sequences(SIGNAL_END))
+
+
+@checked(
+    "all_labelled_sequences_from_blocks",
+    "G7",
+    "featm",
+    f"""SELECT code, trade_date, {FLAT} FROM ({_last(LENGTH, 'contest_label IS NOT NULL')}) WHERE trade_date IN (
+  SELECT trade_date FROM featm WHERE contest_label IS NOT NULL GROUP BY 1 HAVING count(*) >= 10)""",
+    KEYS,
+    FLAT_COLS,
+)
+def all_labelled_sequences_from_blocks(t: Tables):
+    return flat(store(t).all_labelled_sequences())

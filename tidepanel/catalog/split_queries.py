@@ -14,6 +14,7 @@ from tidepanel.operators import gate as gt
 from tidepanel.operators import regime as rg
 from tidepanel.operators import scaling as sc
 from tidepanel.operators import splits as sp
+from tidepanel.plans.permutation import ROUNDS
 
 KEYS = "code trade_date"
 SEG = "segment start_date end_date n_days"
@@ -291,7 +292,34 @@ def regime_labels(t: Tables):
     return labelled_states(t)
 
 
-@query("stratified_dates", "I4", cols="draw trade_date market_state")
+def _hashed(*parts: str) -> str:
+    return "('0x' || substr(md5(" + " || ':' || ".join(parts) + "), 1, 8))::BIGINT"
+
+
+def _shuffled(place: str, n: str, key: str) -> str:
+    """Rounds of the keyed permutation, one after the other; null where n is 0."""
+    other = f"((({_hashed(key, 'i')} % {n}) - x + {n}) % {n})"
+    swap = f"{_hashed(key, 'i', f'greatest(x, {other})')} % 2 = 1"
+    return f"list_reduce(list_prepend({place}, range(1, {ROUNDS + 1})), lambda x, i: CASE WHEN {swap} THEN {other} ELSE x END)"
+
+
+# Places of dates within their state, slots of draws, and the dates that they name.
+DRAWS = f"""WITH d AS (SELECT trade_date, market_state, row_number() OVER (PARTITION BY market_state ORDER BY trade_date) - 1 AS place
+  FROM labelled_state WHERE trade_date <= DATE '{TRAIN_END}'),
+n AS (SELECT count(*) AS n, count(*) FILTER (WHERE market_state = 'weak') AS w, count(*) FILTER (WHERE market_state = 'normal') AS a,
+  count(*) FILTER (WHERE market_state = 'strong') AS b FROM d),
+x AS (SELECT *, CAST(round_even(n * 0.3, 0) AS BIGINT) AS weak FROM n),
+y AS (SELECT *, CAST(round_even((n - weak) * a / (a + b), 0) AS BIGINT) AS normal FROM x),
+s AS (SELECT *, {_shuffled("k", "n", "'42:draws'")} AS slot FROM (SELECT *, unnest(range(n)) AS k FROM y)),
+t AS (SELECT k, CASE WHEN slot < weak THEN 'weak' WHEN slot < weak + normal THEN 'normal' ELSE 'strong' END AS market_state,
+  CASE WHEN slot < weak THEN w WHEN slot < weak + normal THEN a ELSE b END AS have,
+  slot - CASE WHEN slot < weak THEN 0 WHEN slot < weak + normal THEN weak ELSE weak + normal END AS j FROM s),
+u AS (SELECT *, '42:' || market_state AS own FROM t),
+v AS (SELECT k, market_state, CASE WHEN j < have THEN {_shuffled("j", "have", "own")} ELSE {_hashed("own", "'again'", "j")} % have END AS place FROM u)
+SELECT v.k + 1 AS draw, d.trade_date, v.market_state FROM v JOIN d USING (market_state, place)"""
+
+
+@checked("stratified_dates", "I4", "labelled_state", DRAWS, "draw trade_date market_state")
 def stratified_dates(t: Tables):
     fit = labelled_states(t).join(train_dates(t), "trade_date", "left_semi")
     return rg.stratified_sample(fit, 0.30, seed=42)[0]

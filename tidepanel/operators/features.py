@@ -6,10 +6,13 @@ serve every frame. A code has at most one row per calendar day.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.numeric import clean, eps_divide
+from tidepanel.plans.checked_join import checked_join
 from tidepanel.schemas import DataContractError, require_columns
 
 # The feature names and their order.
@@ -36,6 +39,12 @@ FEATURE_SETS = {
     "baseline24_market4_component2": BASE24 + MARKET4 + COMPONENT2,
 }
 
+#: Label, flags and origin of a row: never features, and never filled.
+AUDIT = (
+    "label", "is_member", "is_suspended", "is_tradable", "in_signal_range",
+    "label_entry_failed", "adj_factor", "source",
+)
+
 ATR_DAYS = 14
 ATR_BLOCK = 1024
 
@@ -157,6 +166,18 @@ def baseline24(panel: DataFrame, zero_fill: bool = True) -> DataFrame:
     return result
 
 
+def restore_audit_columns(
+    features: DataFrame, panel: DataFrame, columns: Sequence[str] = AUDIT, keys: Sequence[str] = ("code", "trade_date")
+) -> DataFrame:
+    """Take the audit columns as the panel has them, whatever happened to them since.
+
+    Those of ``columns`` that the panel has are joined back one to one; repeated keys
+    on either side are refused. Rows without a partner get nulls."""
+    own = [c for c in columns if c in panel.columns]
+    bare = features.drop(*own)
+    return checked_join(bare, panel.select(*keys, *own), keys, "one_to_one", "left", "audit columns")[0]
+
+
 def fill_market(df: DataFrame) -> DataFrame:
     """Warm-up days of the market state count as 0, like those of the features.
 

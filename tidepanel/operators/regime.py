@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.numeric import to_numeric
 from tidepanel.operators.market import rolling_state
+from tidepanel.plans.permutation import keyed_number, permuted
 from tidepanel.schemas import DataContractError, require_columns, require_none
 
 STATES = ("weak", "normal", "strong")
@@ -118,41 +119,34 @@ def stratified_sample(
 ) -> tuple[DataFrame, DataFrame]:
     """Draw dates per state at the exact target counts, in shuffled order.
 
-    Every date of a state is drawn once before any repeats. The draw follows a
-    seeded hash, so it is the same on every cluster. Returns the draws and the
-    one-row audit. ``dates`` holds trade_date and market_state, one row per day.
+    Every date of a state is drawn once before any repeats, and repeats are drawn with
+    replacement. Draw number, slot of a state and place of a date in its state are tied
+    by keyed permutations, so each draw finds its date alone, without an order of all
+    draws, and alike on every cluster. Returns the draws and the one-row audit.
+    ``dates`` holds trade_date and market_state, one row per day.
     """
     counts = {r["market_state"]: r["count"] for r in dates.groupBy("market_state").count().collect()}
     targets = draw_targets(counts, weak_share)
-    salt = F.lit(seed + epoch)
-    order = Window.partitionBy("market_state").orderBy(
-        F.xxhash64("trade_date", salt), "trade_date"
-    )
-    numbered = dates.select("trade_date", "market_state").withColumn(
-        "_n", F.row_number().over(order) - 1
-    )
-    have, want = F.lit(0), F.lit(0)
-    for state in STATES:
-        at = F.col("market_state") == state
-        have = F.when(at, F.lit(counts.get(state, 0))).otherwise(have)
-        want = F.when(at, F.lit(targets[state])).otherwise(want)
-    first = numbered.where(F.col("_n") < want).select("trade_date", "market_state", F.lit(0).alias("_turn"))
-    spare = {s: targets[s] - counts.get(s, 0) for s in STATES}
-    turns = [(s, i) for s, n in spare.items() for i in range(1, n + 1)]
-    spark = dates.sparkSession
-    again = (
-        spark.createDataFrame(turns, "market_state string, _turn int")
-        .withColumn("_have", have)
-        .withColumn("_n", F.pmod(F.xxhash64("market_state", "_turn", salt), "_have").cast("int"))
-        .join(numbered, ["market_state", "_n"])
-        .select("trade_date", "market_state", "_turn")
-    )
-    drawn = first.unionByName(again).withColumn(
-        "draw",
-        F.row_number().over(
-            Window.orderBy(F.xxhash64("trade_date", "_turn", salt), "trade_date", "_turn")
-        ),
+    total, key = sum(targets.values()), F.lit(str(seed + epoch))
+    place = F.row_number().over(Window.partitionBy("market_state").orderBy("trade_date")) - 1
+    numbered = dates.select("trade_date", "market_state", place.cast("long").alias("_n"))
+    # Slots: first all of the first state, then those of the second, and so on.
+    slot = permuted(F.col("id"), F.lit(total), F.concat(key, F.lit(":draws")))
+    state, have, first, end = F.lit(None).cast("string"), F.lit(None).cast("long"), F.lit(None).cast("long"), total
+    for name in reversed(STATES):
+        inside = F.col("_slot") < end  # later states are replaced by earlier ones that hold the slot
+        end -= targets[name]
+        state = F.when(inside, F.lit(name)).otherwise(state)
+        have = F.when(inside, F.lit(counts.get(name, 0)).cast("long")).otherwise(have)
+        first = F.when(inside, F.lit(end).cast("long")).otherwise(first)
+    slots = dates.sparkSession.range(total).withColumn("_slot", slot)
+    slots = slots.select("id", state.alias("market_state"), have.alias("_have"), (F.col("_slot") - first).alias("_j"))
+    own = F.concat(key, F.lit(":"), F.col("market_state"))
+    chosen = F.when(F.col("_j") < F.col("_have"), permuted(F.col("_j"), F.col("_have"), own)).otherwise(
+        keyed_number(own, F.lit("again"), F.col("_j")) % F.col("_have")
     )
+    drawn = slots.withColumn("_n", chosen).join(numbered, ["market_state", "_n"])
+    drawn = drawn.select((F.col("id") + 1).cast("int").alias("draw"), "trade_date", "market_state")
     audit = drawn.agg(
         F.lit(epoch + 1).alias("epoch"),
         F.lit(seed).alias("sampler_seed"),
@@ -165,7 +159,7 @@ def stratified_sample(
             F.array_sort(F.collect_list(F.struct("draw", "trade_date"))), lambda s: s["trade_date"]
         ).alias("sampled_dates"),
     )
-    return drawn.drop("_turn"), audit
+    return drawn, audit
 
 
 def state_counts(labelled: DataFrame, train_dates: DataFrame, check: bool = True) -> tuple[DataFrame, DataFrame]:
