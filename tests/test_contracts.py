@@ -16,6 +16,7 @@ from tidepanel.plans.staging import _local_folder
 from tidepanel.schemas import DataContractError
 from tidepanel.sources.readers import checksum_manifest
 from tidepanel.streaming import upsert
+from tidepanel.streaming.commit_log import CommitLog
 
 DAY = date(2020, 1, 6)
 
@@ -79,8 +80,9 @@ def test_a_batch_writes_only_its_rows_and_folding_keeps_the_newest(spark, tmp_pa
     for i, batch in enumerate(rows):
         merge(spark.createDataFrame(batch, "code string, x long"), i)
         if i == 1:
-            assert spark.read.parquet(f"{target}/v=1").count() == 1
-    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["base=2", "v=3"]
+            assert spark.read.parquet(f"{target}/{CommitLog(spark, target).last().deltas[-1]}").count() == 1
+    last = CommitLog(spark, target).last()
+    assert last.batch == 3 and last.base is not None and len(last.deltas) == 1
     merge(spark.createDataFrame(rows[3], "code string, x long"), 3)  # the last batch again
     got = {r.code: r.x for r in upsert.read_target(spark, target, keys).collect()}
     assert got == {"a": 4, "b": 2, "c": 3}
