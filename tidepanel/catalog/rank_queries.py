@@ -69,6 +69,22 @@ def average_ranks_split(t: Tables):
     return xs.average_rank(t.features, ["turnover"], split_extent(t))
 
 
+@checked(
+    "average_ranks_hot_split",
+    "F2",
+    "features",
+    f"""SELECT code, trade_date, {o.avg_rank('turnover')} / count(*) OVER (PARTITION BY trade_date) AS turnover
+FROM (SELECT code, trade_date, CASE WHEN CAST(right(code, 1) AS INTEGER) % 2 = 0 THEN 0.0 ELSE turnover END AS turnover FROM features)""",
+    KEYS,
+    "turnover",
+)
+def average_ranks_hot_split(t: Tables):
+    """Half of every date on one value."""
+    half = F.substring("code", -1, 1).cast("int") % 2 == 0
+    hot = t.features.withColumn("turnover", F.when(half, F.lit(0.0)).otherwise(F.col("turnover")))
+    return xs.average_rank(hot, ["turnover"], split_extent(t))
+
+
 @checked("label_relevance", "F3", "rel", "SELECT * FROM rel", KEYS, "relevance")
 def label_relevance(t: Tables):
     return xs.relevance(t.scores, t.extent, check=True)

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from tidepanel.plans.extent import Extent, attach
 from tidepanel.plans.staging import stage
 
-BUCKET = "_bucket"
+BUCKET, ROWS, SALT = "_bucket", "_rows", "_salt"
+#: Keys with more than this share of all rows are dealt over so many tasks.
+HEAVY, SALTS = 1000, 32
 
 
 def row_positions(
@@ -93,7 +95,7 @@ def prefix_sums(
 
     # Equal values collapse map-side first, so a hot value is one row per task.
     levels = df.where(known).groupBy(*by, value).agg(
-        *[F.sum(amount).alias(f"{name}_tie") for name, amount in sums.items()]
+        F.count("*").alias(ROWS), *[F.sum(amount).alias(f"{name}_tie") for name, amount in sums.items()]
     )
     buckets = extent.buckets(fan_out)
     placed = stage(
@@ -120,6 +122,7 @@ def prefix_sums(
     ranked = attach(placed, heads, [*by, BUCKET], extent.dates * (groups or fan_out) + buckets).select(
         *by,
         value,
+        ROWS,
         *[
             # A bucket whose earlier sums are all NULL still counts as zero.
             (F.sum(f"{name}_tie").over(inside) + F.coalesce(F.col(f"_{name}_before"), F.lit(0))).alias(
@@ -130,4 +133,24 @@ def prefix_sums(
         *[f"{name}_tie" for name in sums],
         *[f"{name}_all" for name in sums],
     )
-    return df.join(ranked, [*by, value], "left")
+    return join_levels(df, ranked, placed, [*by, value])
+
+
+def join_levels(df: DataFrame, levels: DataFrame, sizes: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Join every row to its level, one row a key; ``levels`` and the written table
+    ``sizes`` tell in ROWS how many rows of ``df`` have a key.
+
+    Keys of over 1 / HEAVY of all rows (so fewer than HEAVY keys) are told by broadcast
+    and dealt over SALTS tasks, and their levels with them; rows with a null key match
+    nothing and are dealt as well. All others meet as in a plain join."""
+    total = sizes.agg(F.coalesce(F.sum(ROWS), F.lit(0))).first()[0]
+    heavy = F.col(ROWS) * HEAVY > total
+    hot = sizes.where(heavy).select(*on, F.lit(True).alias("_hot"))
+    loose = F.col("_hot").isNotNull()
+    for name in on:
+        loose = loose | F.col(name).isNull()
+    # Which task a row goes to changes nothing in the result.
+    deal = F.when(loose, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    rows = df.join(F.broadcast(hot), list(on), "left").withColumn(SALT, deal).drop("_hot")
+    copies = F.when(heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return rows.join(levels.withColumn(SALT, F.explode(copies)).drop(ROWS), [*on, SALT], "left").drop(SALT)
