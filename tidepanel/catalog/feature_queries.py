@@ -45,9 +45,8 @@ _feature("all_24_features", "E1-E24, B13", " ".join(ft.BASE24))
 @checked(
     "restored_audit_columns",
     "D12",
-    "features",
-    """SELECT f.code, f.trade_date, f."ROC5", p.is_member, p.is_suspended, p.is_tradable, p.in_signal_range, p.contest_label
-FROM features f JOIN featm p USING (code, trade_date)""",
+    "featm",
+    """SELECT code, trade_date, "ROC5", is_member, is_suspended, is_tradable, in_signal_range, contest_label FROM featm""",
     f"{KEYS} is_member is_suspended is_tradable in_signal_range",
     "ROC5 contest_label",
 )
