@@ -18,11 +18,26 @@ from tidepanel.llm import byte_bpe, common, decontamination, minhash_dedup, secr
 BROADCAST_IDS = 500_000
 
 
+#: Columns that stages work with; all others wait under names of their own.
+OWN = ("doc_id", "text", "n_chars")
+
+
+def _aside(docs: DataFrame) -> DataFrame:
+    """``docs`` with other columns renamed, so that no name can clash with a stage's."""
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in OWN else f"_aside_{i}") for i, c in enumerate(docs.columns)])
+
+
+def _back(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again, under their names."""
+    return df.select(*[F.col(c if c in OWN else f"_aside_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples don't call toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.score(docs, toxicity.fit(docs, labels))
-    return scored.where(F.col("score") < 0.5).select(docs.columns)
+    own = _aside(docs)
+    scored = toxicity.score(own, toxicity.fit(own, labels))
+    return _back(scored.where(F.col("score") < 0.5), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,18 +51,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage that equals a benchmark item but for its error budget."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontamination.judge(docs, items).where(F.size("hits") == 0).select(docs.columns)
+    return _back(decontamination.judge(_aside(docs), items).where(F.size("hits") == 0), docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced by ``[kind]``."""
+    own = _aside(docs)
     ledger = secret_ledger.Ledger(spark, common.new_path(spark, "secrets"))
-    paths = secret_ledger.spans_of_paths(ledger.scan(docs), ledger.findings())
-    clean = secret_ledger.redact(docs, paths)
-    if "n_chars" not in docs.columns:
-        return clean
-    length = F.coalesce(F.length("text").cast("long"), F.col("n_chars"))
-    return clean.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    paths = secret_ledger.spans_of_paths(ledger.scan(own), ledger.findings())
+    clean = secret_ledger.redact(own, paths)
+    if "n_chars" in docs.columns:
+        length = F.coalesce(F.length("text").cast("long"), F.col("n_chars"))
+        clean = clean.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
+    return _back(clean, docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
