@@ -3,6 +3,7 @@ import random
 import corpus_pipeline
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 from test_decontamination import least_distance
 from test_minhash_dedup import sets
 from test_secret_ledger import brute as secrets
@@ -75,5 +76,19 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path):
     assert len(redacted) == 1 and redacted[0].n_chars == len(redacted[0].text)
 
 
+def test_columns_that_stages_make_may_stand_in_the_table(spark, tmp_path):
+    docs, labels, items = corpus()
+    folder = folder_of(spark, tmp_path, docs, labels, items)
+    given = spark.read.parquet(f"{folder}/documents.parquet")
+    names = ["score", "evidence", "hits", "spans", "sha", "path", "kept", "component_id", "_text", "v", "held out"]
+    clashing = given.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, clashing, folder)
+        assert found.columns == clashing.columns
+        rows = found.collect()
+        assert {r.doc_id for r in rows} == {r.doc_id for r in stage(spark, given, folder).collect()}
+        assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names if r.doc_id is not None)
+
+
 def test_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, folder_of(spark, tmp_path, [], [], [])).collect() == []
