@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from tidepanel.operators import sequences as sq
 from tidepanel.operators.sequence_store import store_sequences
 from tidepanel.operators.features import BASE24
 from tidepanel.plans import extent as ex
+from tidepanel.plans.staging import shared_dir, stage
+from tidepanel.sources import writers as wr
 
 KEYS = "code trade_date"
 SEQ = ("ROC5", "STD5", "RSV20")
@@ -279,6 +282,34 @@ def selection_manifest(t: Tables):
     return rr.selection_manifest(blend_rerank(t))
 
 
+@checked(
+    "rerank_files",
+    "A12",
+    "blended",
+    """SELECT 'original_result' AS kind, trade_date, code AS stock_id, 0.2 AS value FROM blended WHERE original_rank <= 5
+UNION ALL SELECT 'result', trade_date, code, 0.2 FROM blended WHERE final_rank <= 5
+UNION ALL SELECT 'ranking_audit', trade_date, code, final_rank FROM blended
+UNION ALL SELECT 'rerank_audit', trade_date, NULL, count(*) FROM blended GROUP BY trade_date""",
+    "kind trade_date stock_id",
+    "value",
+)
+def rerank_files(t: Tables):
+    """The four outputs of a re-ranking, written and read again by their manifests."""
+    audit = stage(blend_rerank(t).select("trade_date", "code", *AUDIT.split()[2:], "effective_alpha"), "audit")
+    path = f"{shared_dir(t.spark)}/files/{t.spark.sparkContext.applicationId}/rerank-{uuid.uuid4().hex}"
+    wr.write_rerank_outputs(audit, rr.selection_manifest(audit), path)
+    picks = "trade_date date, stock_id string, weight double"
+    found = [
+        wr.read_ordered(t.spark, f"{path}/{n}", picks).select(F.lit(n).alias("kind"), "trade_date", "stock_id", F.col("weight").alias("value"))
+        for n in ("original_result", "result")
+    ]
+    ranks = wr.read_ordered(t.spark, f"{path}/ranking_audit", audit.schema)
+    found.append(ranks.select(F.lit("ranking_audit"), "trade_date", "code", F.col("final_rank").cast("double")))
+    told = t.spark.read.schema("trade_date date, candidate_count long").json(f"{path}/rerank_audit")
+    found.append(told.select(F.lit("rerank_audit"), "trade_date", F.lit(None).cast("string"), F.col("candidate_count").cast("double")))
+    return found[0].union(found[1]).union(found[2]).union(found[3])
+
+
 @checked(
     "top5_portfolio",
     "F13",

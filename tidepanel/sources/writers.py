@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepanel.schemas import require_none
+
 
 def write_panel(panel: DataFrame, path: str, fmt: str = "parquet", by_year: bool = True) -> None:
     """The panel with the rows of a code together, partitioned by year."""
@@ -42,10 +46,35 @@ def append_audit(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def write_result(portfolio: DataFrame, path: str, overwrite: bool = False) -> None:
-    """The selected names and weights; an existing target is kept by default."""
+def write_ordered(rows: DataFrame, path: str, order: Sequence[str], overwrite: bool = False) -> None:
+    """CSV part files that follow each other in ``order``, and beside them, in
+    ``<path>.manifest``, a list of the files in this order with their numbers of rows.
+
+    Every range of rows is written by a task of its own; equal keys stay together."""
     mode = "overwrite" if overwrite else "errorifexists"
-    portfolio.repartition(1).write.mode(mode).csv(path, header=True)
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).csv(path, header=True)
+    written = rows.sparkSession.read.csv(path, header=True, schema=rows.schema).select(F.col("_metadata.file_name").alias("file"))
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
+    files = written.groupBy("file").agg(F.count("*").alias("rows")).select(number.alias("part"), "file", "rows")
+    # A row for each file.
+    json_lines(files.coalesce(1).sortWithinPartitions("part")).write.mode(mode).text(f"{path}.manifest")
+
+
+def read_ordered(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Rows that write_ordered() wrote, with the ``part`` they stand in.
+
+    Refused if a listed file has another number of rows now, or rows stand elsewhere."""
+    manifest = spark.read.schema("part long, file string, rows long").json(f"{path}.manifest")
+    found = spark.read.csv(path, header=True, schema=schema).select("*", F.col("_metadata.file_name").alias("file"))
+    counts = found.groupBy("file").agg(F.count("*").alias("n"))
+    both = manifest.join(counts, "file", "full").where(~F.col("rows").eqNullSafe(F.col("n")))
+    require_none(both, F.lit(True), f"{path}: files differ from the manifest")
+    return found.join(manifest.select("file", "part"), "file").drop("file")
+
+
+def write_result(portfolio: DataFrame, path: str, overwrite: bool = False) -> None:
+    """The selected names and weights by date; an existing target is kept by default."""
+    write_ordered(portfolio, path, ["trade_date", "stock_id"], overwrite)
 
 
 def write_ranking(ranking: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -56,13 +85,13 @@ def write_ranking(ranking: DataFrame, path: str, overwrite: bool = False) -> Non
 def write_rerank_outputs(
     audit: DataFrame, manifest: DataFrame, path: str, k: int = 5, overwrite: bool = False
 ) -> None:
-    """Original and final selection, the full audit, and the manifest."""
+    """Original and final selection, the full audit by date and final rank, and the manifest."""
     for rank, name in (("original_rank", "original_result"), ("final_rank", "result")):
         picked = audit.where(F.col(rank) <= k).select(
             "trade_date", F.col("code").alias("stock_id"), F.lit(1.0 / k).alias("weight")
         )
         write_result(picked, f"{path}/{name}", overwrite)
-    write_ranking(audit, f"{path}/ranking_audit", overwrite)
+    write_ordered(audit, f"{path}/ranking_audit", ["trade_date", "final_rank"], overwrite)
     mode = "overwrite" if overwrite else "errorifexists"
     json_lines(manifest).write.mode(mode).text(f"{path}/rerank_audit")
 
