@@ -33,6 +33,8 @@ from tidepanel.llm import words as w
 
 #: Ids decoded in one go.
 DECODED_IDS = 1 << 17
+#: Bytes up to which a list of neighbours is searched instead of a heap.
+SHORT_PIECE = 64
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 # The white space of Unicode's White_Space property.
@@ -183,13 +185,30 @@ def _pieces(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(table), np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
+def _merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    get, none = ranks.get, len(ranks)
+    cuts = list(range(len(piece) + 1))
+    pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]  # rank of the parts at a cut and behind it
+    while pairs and (lowest := min(pairs)) < none:
+        i = pairs.index(lowest)
+        del cuts[i + 1], pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(piece[cuts[i] : cuts[i + 2]], none)
+        if i:
+            pairs[i - 1] = get(piece[cuts[i - 1] : cuts[i + 1]], none)
+    return [ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:])]
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Join the neighbours of the lowest rank, leftmost first, until none is left.
 
-    Neighbours wait in a heap, so very long pieces take n log n steps."""
+    Neighbours of short pieces stand in a list; those of longer ones wait in a heap,
+    so very long pieces take n log n steps."""
     if piece in ranks:
         return [ranks[piece]]
     n = len(piece)
+    if n <= SHORT_PIECE:
+        return _merge_short(piece, ranks)
     end, prev = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
     heapq.heapify(heap)
@@ -219,28 +238,40 @@ class _Cache(dict):
         super().__init__()
         self.ranks, self.most = ranks, most
 
-    def __missing__(self, piece: str) -> list[int]:
+    def __missing__(self, piece: bytes) -> list[int]:
         if len(self) >= self.most:
             self.clear()
-        ids = self[piece] = merge(piece.encode(), self.ranks)
+        ids = self[piece] = merge(piece, self.ranks)
         return ids
 
 
+def _ids_of(data: np.ndarray, starts: np.ndarray, cache_: _Cache) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the pieces of ``data`` that begin at ``starts``, and how many each has.
+
+    Equal pieces are found first; only distinct ones are looked up and merged."""
+    ends = np.append(starts, len(data)).astype(np.int64)
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+    coded = pieces.dictionary_encode()
+    found = [cache_[piece] for piece in coded.dictionary.to_pylist()]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+    which = coded.indices.to_numpy()
+    counts = sizes[which]
+    return flat[w.runs((np.cumsum(sizes) - sizes)[which], counts)], counts
+
+
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, most: int, stretch: int):
     cache_ = _Cache(_ranks(path), most)
     for batch in batches:
         data_all, offs_all = w.texts_of(batch.column(1))
         for lo, hi in w.chunks(offs_all, stretch):
             data = data_all[offs_all[lo] : offs_all[hi]]
-            text = data.tobytes().decode()
-            points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-            lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))  # code points before each byte
-            docs = lead[offs_all[lo : hi + 1] - offs_all[lo]]
+            offs = offs_all[lo : hi + 1] - offs_all[lo]
+            heads = np.flatnonzero((data & 0xC0) != 0x80)  # byte at which each code point starts
+            points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+            docs = np.searchsorted(heads, offs)
             starts = starts_of(points, docs[:-1][docs[:-1] < docs[1:]])
-            at = starts.tolist()
-            found = [cache_[text[a:b]] for a, b in zip(at, at[1:] + [len(text)])]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+            ids, sizes = _ids_of(data, heads[starts], cache_)
             tokens_before = np.concatenate(([0], np.cumsum(sizes)))
             cut = np.searchsorted(starts, docs)
             of_doc = np.diff(cut)
@@ -256,7 +287,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, most: int, stretch: i
 
 
 def encode(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = RANKS, cache_pieces: int = 100_000, stretch: int = 1 << 19
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = RANKS, cache_pieces: int = 100_000, stretch: int = 1 << 21
 ) -> DataFrame:
     """doc_id, ``ids`` (token ids of the whole text) and ``piece_offsets`` (code
     point at which each pre-token starts). ``path``: a rank file that every worker
