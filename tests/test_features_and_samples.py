@@ -235,3 +235,19 @@ def test_fetch_gaps(spark):
         ("b", date(2024, 1, 11), date(2024, 1, 31), "late"),
         ("c", date(2024, 1, 1), date(2024, 1, 31), "full"),
     }
+
+
+def test_portfolios_of_any_size_score_alike(spark, monkeypatch):
+    bars = spark.createDataFrame(
+        [(f"{c:06d}", date(2024, 1, d), float(10 + c + d)) for c in range(40) for d in range(1, 8)], "code string, trade_date date, open double"
+    )
+    picks = spark.createDataFrame([(f"{c:06d}", 1 / 30) for c in range(30)], "code string, weight double")
+    want = so.portfolio_score(picks, bars).first()[0]
+    monkeypatch.setattr(so, "BROADCAST_ROWS", 5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scored = so.portfolio_score(picks, bars)
+        assert scored.first()[0] == pytest.approx(want)
+        assert "Broadcast" not in scored._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

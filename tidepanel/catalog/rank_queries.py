@@ -202,7 +202,7 @@ def with_regime(t: Tables):
 
 @checked(
     "original_order",
-    "F8, F14, K22",
+    "F8, F14",
     "scores",
     """SELECT trade_date AS signal_date, code AS stock_id, score AS raw_score, rn AS raw_rank,
   label AS future_return, rn <= 5 AS selected_top5, CASE WHEN rn <= 5 THEN 0.2 ELSE 0.0 END AS weight

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.codes import zfill
+from tidepanel.plans.extent import BROADCAST_ROWS
 from tidepanel.schemas import DataContractError
 
 MAX_PICKS = 5
@@ -35,16 +36,18 @@ def portfolio_returns(picks: DataFrame, bars: DataFrame, last_rows: int = 5) ->
     """Open-to-open return over the last rows of every picked code.
 
     A single row returns 0; a code without rows is missing and adds nothing.
-    ``picks`` holds a handful of validated rows.
+    ``picks`` may hold any number of rows: they are counted before they are broadcast.
     """
-    held = bars.join(F.broadcast(picks.select("code").distinct()), "code", "left_semi")
+    few = picks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    side = F.broadcast if few else (lambda df: df)
+    held = bars.join(side(picks.select("code").distinct()), "code", "left_semi")
     newest = Window.partitionBy("code").orderBy(F.desc("trade_date"))
     tail = held.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= last_rows)
     moves = tail.groupBy("code").agg(
         F.min_by("open", "trade_date").alias("first_open"),
         F.max_by("open", "trade_date").alias("last_open"),
     )
-    return moves.join(F.broadcast(picks), "code").select(
+    return moves.join(side(picks), "code").select(
         "code",
         "weight",
         F.try_divide(F.col("last_open") - F.col("first_open"), F.col("first_open")).alias("ret"),
