@@ -207,3 +207,16 @@ def test_calendar_needs_warmup(spark):
         cal.research_window(calendar(spark, 20), date(2024, 1, 10), date(2024, 1, 12))
     got = cal.research_window(calendar(spark, 20), date(2024, 1, 10), date(2024, 1, 12), 3, 5)
     assert got == {"warmup_start": date(2024, 1, 5), "market_end": date(2024, 1, 19)}
+
+
+def test_bars_are_shuffled_by_code_once(spark):
+    columns = ["open", "high", "low", "close", "vol", "amount", "turnover_rate", "adj_factor"]
+    rows = spark.range(10).selectExpr("'1' AS ts_code", "date_add(date'2024-01-01', int(id)) AS trade_date", *[f"1.0D AS {c}" for c in columns])
+    members = spark.createDataFrame([], "trade_date date, con_code string, code string, ts_code string, weight double, is_member boolean")
+    day = rows.first().trade_date
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = pn.build_panel(rows, members, calendar(spark, 7), day, day, check=False)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "hashpartitioning(code" in plan and "hashpartitioning(ts_code" not in plan

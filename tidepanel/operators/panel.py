@@ -217,10 +217,11 @@ def build_panel(
         ["ts_code", "trade_date", *PRICES, "vol", "amount", "turnover_rate", "adj_factor"],
         "market bars",
     )
-    coded = causal_adjust(bars, check=check).withColumn(
-        "ts_code", normalize_ts_code(F.col("ts_code"))
-    ).withColumn("code", F.substring_index("ts_code", ".", 1))
-    dense = mark_members(densify(coded, calendar), members)
+    # Adjusting and densifying share one shuffle by the code that both go by.
+    coded = bars.withColumn("ts_code", normalize_ts_code(F.col("ts_code"))).withColumn(
+        "code", F.substring_index("ts_code", ".", 1)
+    )
+    dense = mark_members(densify(causal_adjust(coded, "code", check), calendar), members)
     labelled = pit_label(derive(dense))
     ranged = in_signal_range(labelled, signal_start, signal_end)
     return ranged.withColumn("source", F.lit(source)).select(
