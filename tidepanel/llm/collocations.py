@@ -16,7 +16,7 @@ Counts of a depth are summed over shards before the next one starts, and only ph
 whose two shorter ones are frequent everywhere are enumerated and shipped at all. A
 shard ships a phrase once, however often it occurs. Frequent phrases return to the
 shards by broadcast up to a measured number, and beyond it only to the shards that
-hold them.
+hold them. What else is told of a frequent phrase comes from one of its shards.
 
 A phrase travels as a 64-bit hash of its words and language: over n distinct phrases
 about n * n / 2**65 pairs collide. Its text is put together from those of its two
@@ -35,6 +35,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,7 +44,9 @@ from tidepanel.llm import common
 from tidepanel.llm import words as w
 
 #: Bytes of text of a shard at about; a piece is never cut.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
+#: Rows of a batch that goes back to Spark, and of those taken from one at a time.
+BATCH_ROWS, ROWS = 1 << 15, 500
 #: Frequent phrases of a depth up to this many go to all shards (8 bytes each).
 BROADCAST_GRAMS = 2_000_000
 #: Rows of a joined side up to which it is broadcast (about 100 bytes each).
@@ -55,8 +58,9 @@ _LETTERS[[0x20, 0x09]] = SPACE
 _LETTERS[[*map(ord, ".,;:!?"), *range(0x0A, 0x0E)]] = BREAK
 
 INDEX = "shard long, lang string, n_words long, words array<string>, hashes binary, bwt binary"
-GRAMS = "shard long, h long, pre long, suf long, n long"
-WORDS = "shard long, h long, lang string, word string, n long"
+COUNTS = "shard long, h long, n long"
+LINKS = "shard long, h long, pre long, suf long"
+WORDS = "shard long, h long, lang string, word string"
 
 
 def _suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -76,7 +80,7 @@ def _index(data: np.ndarray, offsets: np.ndarray, lang: str, depth: int, shard:
     starts, ends, first = w.bounds(data, offsets)
     if not len(starts):
         return None
-    breaks = np.cumsum(data == BREAK)[starts]
+    breaks = np.searchsorted(np.flatnonzero(data == BREAK), starts)
     new = np.diff(breaks, prepend=-1) != 0
     new[first[:-1][first[:-1] < len(starts)]] = True
     seed = np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
@@ -86,7 +90,7 @@ def _index(data: np.ndarray, offsets: np.ndarray, lang: str, depth: int, shard:
     text[place] = ids + 1
     bwt = text[_suffix_order(text, depth) - 1]
     words = [data[a:b].tobytes().decode() for a, b in zip(starts[sample].tolist(), ends[sample].tolist())]
-    return shard, lang, len(ids), words, hashes.tobytes(), bwt.tobytes()
+    return shard, lang, len(ids), words, hashes.tobytes(), zstandard.ZstdCompressor(level=1).compress(bwt.tobytes())
 
 
 def _cut(data: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
@@ -114,9 +118,10 @@ def _indexed(batches: Iterator[pa.RecordBatch], depth: int, size: int):
                 if row is not None:
                     yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], [x.split()[0] for x in INDEX.split(", ")])
         held.clear()
+        pa.default_memory_pool().release_unused()
 
     waiting = 0
-    for batch in batches:
+    for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
         codes = batch.column(0).cast(pa.string()).fill_null("und").dictionary_encode()
         numbers, texts = codes.indices.to_numpy(), batch.column(1).cast(pa.large_string()).fill_null("")
         for i, lang in enumerate(codes.dictionary.to_pylist()):
@@ -148,7 +153,7 @@ class FMIndex:
     def __init__(self, bwt: np.ndarray, hashes: np.ndarray):
         sizes = np.bincount(bwt, minlength=len(hashes) + 1)
         self.first = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)  # first word of each row
-        self.order = np.argsort(bwt, kind="stable")  # the row whose word before is that first word
+        self.order = np.argsort(bwt, kind="stable").astype(np.int32)  # the row whose word before is that first word
         self.starts = np.cumsum(sizes) - sizes
         self.hashes = np.concatenate(([np.uint64(0)], hashes))
 
@@ -169,62 +174,109 @@ class FMIndex:
         return Level(np.cumsum(new, dtype=np.int32) - np.int32(1), starts, hashes, open_, prefix, suffix)
 
 
-def _member(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
-    if not len(sorted_):
-        return np.zeros(len(values), bool)
-    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
+class Frequent(NamedTuple):
+    """Hashes of frequent phrases, sorted, and for each the shard that tells more of it."""
+
+    hashes: np.ndarray
+    owners: np.ndarray
+
+    @staticmethod
+    def of(table: pa.Table) -> Frequent:
+        hashes, owners = (table.column(c).to_numpy().astype(np.int64) for c in ("h", "shard"))
+        order = np.argsort(hashes.view(np.uint64), kind="stable")
+        return Frequent(hashes.view(np.uint64)[order], owners[order])
+
+    def holds(self, values: np.ndarray, shard: int | None = None) -> np.ndarray:
+        """Which values are among them, and owned by ``shard`` if one is given."""
+        if not len(self.hashes):
+            return np.zeros(len(values), bool)
+        at = np.minimum(np.searchsorted(self.hashes, values), len(self.hashes) - 1)
+        found = self.hashes[at] == values
+        return found if shard is None else found & (self.owners[at] == shard)
+
 
+def _unpacked(bwt: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(bwt), np.int32)
 
-def _phrases(hashes: bytes, bwt: bytes, length: int, frequent: np.ndarray) -> tuple[Level, Level]:
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Shards one at a time; only one is ever held as Python values."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _phrases(hashes: bytes, bwt: bytes, length: int, frequent: Frequent) -> tuple[Level, Level]:
     """Levels of ``length`` - 1 and ``length`` words; the first holds only ``frequent``."""
-    index = FMIndex(np.frombuffer(bwt, np.int32), np.frombuffer(hashes, np.uint64))
+    index = FMIndex(_unpacked(bwt), np.frombuffer(hashes, np.uint64))
     level = index.single()
     for _ in range(length - 2):
         level = index.extend(level)
-    level = level._replace(open=level.open & _member(level.hashes, frequent))
+    level = level._replace(open=level.open & frequent.holds(level.hashes))
     return level, index.extend(level)
 
 
-def _gram_batch(shard: int, below: Level, level: Level) -> pa.RecordBatch:
+def _batches(names: str, *columns) -> Iterator[pa.RecordBatch]:
+    """Equally long arrays as batches of some rows."""
+    heads = [x.split()[0] for x in names.split(", ")]
+    for lo in range(0, len(columns[0]), BATCH_ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + BATCH_ROWS]) for c in columns], heads)
+
+
+def _counted(shard: int, _: Level, level: Level) -> Iterator[pa.RecordBatch]:
+    """COUNTS of the phrases of a shard."""
     at = np.flatnonzero(level.open)
+    return _batches(COUNTS, np.full(len(at), shard), level.hashes[at].view(np.int64), level.counts()[at].astype(np.int64))
+
+
+def _linked(shard: int, below: Level, level: Level, among: Frequent | None = None) -> Iterator[pa.RecordBatch]:
+    """LINKS of the phrases of a shard, of those in ``among`` that it owns if that is given."""
+    at = np.flatnonzero(level.open if among is None else level.open & among.holds(level.hashes, shard))
     columns = [level.hashes[at], below.hashes[level.prefix[at]], below.hashes[level.suffix[at]]]
-    arrays = [pa.array(np.full(len(at), shard, np.int64)), *(pa.array(x.view(np.int64)) for x in columns), pa.array(level.counts()[at].astype(np.int64))]
-    return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in GRAMS.split(", ")])
+    return _batches(LINKS, np.full(len(at), shard), *(x.view(np.int64) for x in columns))
 
 
-def _word_rows(batches: Iterator[pa.RecordBatch]):
-    for batch in batches:
-        for row in batch.to_pylist():
-            hashes = np.frombuffer(row["hashes"], np.int64)
-            n = np.bincount(np.frombuffer(row["bwt"], np.int32), minlength=len(hashes) + 1)[1:]
-            arrays = [pa.array([row["shard"]] * len(n), pa.int64()), pa.array(hashes), pa.array([row["lang"]] * len(n)), pa.array(row["words"]), pa.array(n)]
-            yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in WORDS.split(", ")])
+def _word_counts(batches: Iterator[pa.RecordBatch]):
+    for row in _rows(batches):
+        hashes = np.frombuffer(row["hashes"], np.int64)
+        n = np.bincount(_unpacked(row["bwt"]), minlength=len(hashes) + 1)[1:]
+        yield from _batches(COUNTS, np.full(len(n), row["shard"]), hashes, n)
+
 
+def _spellings(frequent=None):
+    """Words of every shard, those in ``frequent`` (broadcast) that it owns if that is given."""
 
-def _unsigned(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.sort(column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) if len(column) else np.zeros(0, np.uint64)
+    def emit(batches):
+        for row in _rows(batches):
+            hashes = np.frombuffer(row["hashes"], np.uint64)
+            at = np.arange(len(hashes)) if frequent is None else np.flatnonzero(frequent.value.holds(hashes, row["shard"]))
+            words = np.array(row["words"], object)[at]
+            yield from _batches(WORDS, np.full(len(at), row["shard"]), hashes[at].view(np.int64), np.full(len(at), row["lang"], object), words)
+
+    return emit
 
 
-def _extending(length: int, frequent):
-    """Phrases of every shard, extended from ``frequent`` ones (a broadcast array)."""
+def _extending(length: int, frequent, give, among=None):
+    """What ``give`` tells of every shard's phrases, extended from ``frequent`` ones."""
 
     def emit(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield _gram_batch(row["shard"], *_phrases(row["hashes"], row["bwt"], length, frequent.value))
+        extra = () if among is None else (among.value,)
+        for row in _rows(batches):
+            yield from give(row["shard"], *_phrases(row["hashes"], row["bwt"], length, frequent.value), *extra)
 
     return emit
 
 
-def _meeting(length: int):
-    """Phrases of one shard, extended from those rows of the other side that are its own."""
+def _meeting(length: int, give, schema: str):
+    """The same of one shard, extended from those rows of the other side that are its own."""
 
     def meet(shard, own):
-        if not shard.num_rows or not own.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 5, [x.split()[0] for x in GRAMS.split(", ")])
-        row = shard.to_pylist()[0]
-        levels = _phrases(row["hashes"], row["bwt"], length, _unsigned(own.column("h")))
-        return pa.Table.from_batches([_gram_batch(row["shard"], *levels)])
+        found = []
+        if shard.num_rows and own.num_rows:
+            row = shard.to_pylist()[0]
+            found = list(give(row["shard"], *_phrases(row["hashes"], row["bwt"], length, Frequent.of(own))))
+        names = [x.split()[0] for x in schema.split(", ")]
+        return pa.Table.from_batches(found, pa.schema([(x, pa.int64()) for x in names]))
 
     return meet
 
@@ -253,21 +305,42 @@ def count(
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     index = common.written(rows.mapInArrow(lambda b: _indexed(b, longest, shard_bytes), INDEX), "fm-index")
     totals = common.written(index.groupBy("lang").agg(F.sum("n_words").alias("n")), "totals")
-    grams = index.select("shard", "lang", "words", "hashes", "bwt").mapInArrow(_word_rows, WORDS)
-    summed = grams.groupBy("h").agg(F.sum("n").alias("f"), F.min("lang").alias("lang"), F.min("word").alias("phrase"))
-    found = [common.written(summed.where(F.col("f") >= least), "phrases-1")]
     blobs = index.select("shard", "hashes", "bwt")
+
+    def frequent_of(phrases: DataFrame):
+        """Their hashes and owners, broadcast; None where there are too many."""
+        few = phrases.count() <= broadcast_grams
+        return spark.sparkContext.broadcast(Frequent.of(phrases.select("h", "shard").toArrow())) if few else None
+
+    def summed(grams: DataFrame, label: str) -> DataFrame:
+        both = grams.groupBy("h").agg(F.sum("n").alias("f"), F.min("shard").alias("shard"))
+        return common.written(both.where(F.col("f") >= least), label)
+
+    grams = blobs.mapInArrow(_word_counts, COUNTS)
+    known = summed(grams, "words")
+    few = frequent_of(known)
+    spellings = index.select("shard", "hashes", "lang", "words").mapInArrow(_spellings(few), WORDS)
+    if few is None:
+        spellings = spellings.join(known.select("h", "shard"), ["h", "shard"], "left_semi")
+    named = spellings.select("h", "lang", F.col("word").alias("phrase"))
+    found = [common.written(known.drop("shard").join(named, "h"), "phrases-1")]
     for length in range(2, longest + 1):
-        known = found[-1].select("h")
-        if known.count() <= broadcast_grams:
-            frequent = spark.sparkContext.broadcast(_unsigned(known.toArrow().column(0)))
-            grams = blobs.mapInArrow(_extending(length, frequent), GRAMS)
+        before = few
+        if before is None:  # each shard gets those of its own phrases that are frequent
+            own = common.written(grams.select("shard", "h").join(known.select("h"), "h", "left_semi"), "own")
+            pairs = blobs.groupBy("shard").cogroup(own.groupBy("shard"))
+            grams = pairs.applyInArrow(_meeting(length, _counted, COUNTS), COUNTS)
+        else:
+            grams = blobs.mapInArrow(_extending(length, before, _counted), COUNTS)
+        known = summed(grams, f"counts-{length}")
+        few = frequent_of(known)
+        if before is None:
+            links = pairs.applyInArrow(_meeting(length, _linked, LINKS), LINKS)
         else:
-            # Each shard gets those of its own phrases that are frequent.
-            own = common.written(grams.select("shard", "h").join(known, "h", "left_semi"), "own")
-            grams = blobs.groupBy("shard").cogroup(own.groupBy("shard")).applyInArrow(_meeting(length), GRAMS)
-        summed = grams.groupBy("h").agg(F.sum("n").alias("f"), F.min("pre").alias("pre"), F.min("suf").alias("suf"))
-        found.append(common.written(summed.where(F.col("f") >= least), f"phrases-{length}"))
+            links = blobs.mapInArrow(_extending(length, before, _linked, few), LINKS)
+        if before is None or few is None:
+            links = links.join(known.select("h", "shard"), ["h", "shard"], "left_semi")
+        found.append(common.written(known.drop("shard").join(links.drop("shard"), "h"), f"phrases-{length}"))
     return Counts(totals, found)
 
 
