@@ -45,6 +45,8 @@ from tidepanel.llm import words as w
 
 #: Bytes of text of a shard at about; a piece is never cut.
 SHARD_BYTES = 4 << 20
+#: Text that waits in a task for its shard to fill, in shards.
+HELD_SHARDS = 4
 #: Rows of a batch that goes back to Spark, and of those taken from one at a time.
 BATCH_ROWS, ROWS = 1 << 15, 500
 #: Frequent phrases of a depth up to this many go to all shards (8 bytes each).
@@ -106,31 +108,33 @@ def _indexed(batches: Iterator[pa.RecordBatch], depth: int, size: int):
     held: dict[str, list[pa.Array]] = {}
     base, count, kinds = TaskContext.get().partitionId() << 32, 0, [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary()]
 
-    def flush():
+    def flush(lang: str):
         nonlocal count
-        for lang, parts in held.items():
-            data, offs = w.texts_of(pa.concat_arrays(parts))
-            data = _LETTERS[data]
-            offs = _cut(data, offs, size)
-            for lo, hi in w.chunks(offs, size):
-                row = _index(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], lang, depth, base + count)
-                count += 1
-                if row is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], [x.split()[0] for x in INDEX.split(", ")])
-        held.clear()
+        data, offs = w.texts_of(pa.concat_arrays(held.pop(lang)))
+        waiting.pop(lang)
+        data = _LETTERS[data]
+        offs = _cut(data, offs, size)
+        for lo, hi in w.chunks(offs, size):
+            row = _index(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], lang, depth, base + count)
+            count += 1
+            if row is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], [x.split()[0] for x in INDEX.split(", ")])
         pa.default_memory_pool().release_unused()
 
-    waiting = 0
+    waiting: dict[str, int] = {}
     for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
         codes = batch.column(0).cast(pa.string()).fill_null("und").dictionary_encode()
         numbers, texts = codes.indices.to_numpy(), batch.column(1).cast(pa.large_string()).fill_null("")
         for i, lang in enumerate(codes.dictionary.to_pylist()):
-            held.setdefault(lang, []).append(texts.take(pa.array(np.flatnonzero(numbers == i))))
-        waiting += int(pc.sum(pc.binary_length(texts)).as_py() or 0)
-        if waiting >= size:
-            yield from flush()
-            waiting = 0
-    yield from flush()
+            part = texts.take(pa.array(np.flatnonzero(numbers == i)))
+            held.setdefault(lang, []).append(part)
+            waiting[lang] = waiting.get(lang, 0) + int(pc.sum(pc.binary_length(part)).as_py() or 0)
+        # A language waits until it fills a shard, as long as all of them fit a few shards.
+        everything = sum(waiting.values()) >= HELD_SHARDS * size
+        for lang in [x for x, n in waiting.items() if everything or n >= size]:
+            yield from flush(lang)
+    for lang in list(waiting):
+        yield from flush(lang)
 
 
 class Level(NamedTuple):
