@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.plans.extent import Extent
+from tidepanel.plans.extent import Extent, gathered_dates
 from tidepanel.plans.ordering import prefix_columns, prefix_sums, row_positions
 from tidepanel.schemas import candidate, require_columns, require_none
 
@@ -15,6 +15,25 @@ from tidepanel.schemas import candidate, require_columns, require_none
 INLINE_COLUMNS = 2
 
 
+def _rank_in_turn(df, columns, counted, formula, extent, keys) -> DataFrame:
+    """One window a column over the same partitions by date.
+
+    Of more than INLINE_COLUMNS columns the ranks are those of their key, as if joined
+    back on it: rows that share one get the largest, rows without one get none."""
+    ranked = gathered_dates(df, extent)
+    for name in columns:
+        # One column after the other: a rank takes its value's place before the next sort.
+        ranked = ranked.withColumn(name, formula(name, *prefix_columns(["trade_date"], F.col(name), counted)))
+    if len(columns) <= INLINE_COLUMNS:
+        return ranked
+    named = F.lit(True)
+    for key in keys:
+        named = named & F.col(key).isNotNull()
+    alike = Window.partitionBy(*keys)
+    others = [c for c in df.columns if c not in (*keys, *columns)]
+    return ranked.select(*keys, *others, *[F.when(named, F.max(c).over(alike)).alias(c) for c in columns])
+
+
 def _rank_many(
     df: DataFrame,
     columns: Sequence[str],
@@ -25,18 +44,12 @@ def _rank_many(
 ) -> DataFrame:
     """Replace columns by a rank built from counts of values below and equal.
 
-    A column or two are ranked in place by one ordered window each. More are
-    unpivoted, ranked in a single pass over (date, column) groups, and put
-    back: one sort of narrow rows instead of one sort of wide rows per column,
-    and a date is spread over as many tasks as there are columns.
+    While a date fits one task, its rows are shuffled once and sorted by each column in
+    turn. Otherwise the columns are unpivoted, ranked in a single pass over (date, column)
+    groups, and put back.
     """
-    if extent.direct and len(columns) <= INLINE_COLUMNS:
-        return df.withColumns(
-            {
-                name: formula(name, *prefix_columns(["trade_date"], F.col(name), counted))
-                for name in columns
-            }
-        )
+    if extent.direct:
+        return _rank_in_turn(df, columns, counted, formula, extent, keys)
     pairs = ", ".join(f"{i}, `{name}`" for i, name in enumerate(columns))
     tall = df.select(
         *keys,

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
 DIRECT_WINDOW_ROWS = 1_000_000
+#: Bytes of rows that a task of windows by date sorts at most, unless one date has more.
+TASK_BYTES = 128 << 20
 
 
 @dataclass(frozen=True)
@@ -51,6 +53,19 @@ class Extent:
         return max(2, -(-self.dates * self.per_date * fan_out // self.bucket_rows))
 
 
+def gathered_dates(df: DataFrame, extent: Extent, date: str = "trade_date") -> DataFrame:
+    """``df`` dealt by date for the windows to come.
+
+    Where the session's partitions would hold more than TASK_BYTES (a field counts as
+    16 bytes), there are as many as keep tasks that small; otherwise the window's own
+    shuffle does.
+    """
+    parts = min(-(-extent.dates * extent.per_date * len(df.columns) * 16 // TASK_BYTES), 4 * extent.dates)
+    if parts <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df
+    return df.repartition(parts, date)
+
+
 def attach(
     df: DataFrame,
     side: DataFrame,

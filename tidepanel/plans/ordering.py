@@ -54,14 +54,16 @@ def row_positions(
 def prefix_columns(
     by: Sequence[str], value: Column, amount: Column
 ) -> tuple[Column, Column, Column]:
-    """Window form of the sums up to, at and over all values of the group."""
+    """Window form of the sums up to, at and over all values of the group.
+
+    All three are frames of one window, so a value costs one sort and no shuffle but
+    that by the group."""
     known = value.isNotNull()
     counted = F.when(known, amount)
-    upto = Window.partitionBy(*by).orderBy(value).rangeBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    ties = Window.partitionBy(*by, value)
-    whole = Window.partitionBy(*by)
+    ordered = Window.partitionBy(*by).orderBy(value)
+    upto = ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ties = ordered.rangeBetween(Window.currentRow, Window.currentRow)
+    whole = ordered.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
         F.when(known, F.sum(counted).over(upto)),
         F.when(known, F.sum(counted).over(ties)),
