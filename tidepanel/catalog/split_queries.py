@@ -165,7 +165,7 @@ o.cte(
     "mean scale",
 )
 def standardizer(t: Tables):
-    return sc.fit_standardizer(t.features, SCALED, train(t))
+    return sc.fit_standardizer(t.featured(*SCALED), SCALED, train(t))
 
 
 @checked(
@@ -180,7 +180,7 @@ def standardizer(t: Tables):
 )
 def standardized_features(t: Tables):
     fitted = sc.parameters(standardizer(t), SCALED)
-    return sc.apply_standardizer(t.features, fitted)
+    return sc.apply_standardizer(t.featured(*SCALED), fitted)
 
 
 @checked(
@@ -461,5 +461,5 @@ WINDOW w AS (PARTITION BY trade_date))""",
 )
 def defensive_blend(t: Tables):
     gates = gt.gate_two_of_four(t.market_filled, rule(t))
-    scored = t.scores.join(t.ranked.drop("label"), ["code", "trade_date"])
+    scored = t.scores.join(t.ranked_factors, ["code", "trade_date"])
     return gt.defensive_blend(scored, gates, t.extent).where(F.col("gate").isNotNull())
