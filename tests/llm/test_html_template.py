@@ -62,3 +62,53 @@ def test_nulls_cut_pages_and_empty_table(spark):
     got = h.extract(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {(r.page_id, r.text) for r in got} == {(1, ""), (None, "a"), (2, ""), (3, "plain text"), (4, "a")}
     assert h.extract(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_unmarked_boilerplate_inside_an_article_goes(spark):
+    page = "<html><body><article><h1>Story {0}</h1>{1}<p>Subscribe to our list today</p></article></body></html>"
+    body = ["".join(f"<p>part {k} of {i}</p>" for k in range(1 + i % 3)) for i in range(12)]
+    rows = [(i, f"http://h.example/{i}", page.format(i, body[i]), "") for i in range(12)]
+    # copies and versions of one article keep what they share
+    rows += [(100 + i, "http://v.example/", page.format(7, f"<p>as before</p><p>version {i}</p>"), "") for i in range(4)]
+    # a passage that some articles share is no template
+    shared = "<p>A passage</p>"
+    rows += [(200 + i, "http://s.example/", f"<html><article><p>one {i}</p>{shared if i < 4 else ''}</article>", "") for i in range(6)]
+    got = {r.page_id: r.text.split("\n") for r in h.extract(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert all(got[i] == [f"Story {i}", *(f"part {k} of {i}" for k in range(1 + i % 3))] for i in range(12))
+    assert all(got[100 + i] == ["Story 7", "as before", f"version {i}", "Subscribe to our list today"] for i in range(4))
+    assert all(got[200 + i] == [f"one {i}"] + ["A passage"] * (i < 4) for i in range(6))
+
+
+def test_roles_are_whole_class_names():
+    kept, gone = ["ad-hoc", "search-party-story", "x"], ["ad", "user-comments", "ad-slot", "related-posts", "x cookie_banner"]
+    page = "<article>" + "".join(f"<p class='{c}'>{c}</p>" for c in kept + gone) + "</article>"
+    assert h.main_text(page, set(), False).split("\n") == kept
+
+
+def test_vectors_classes_and_nesting_by_brute_force(spark):
+    """Classes are the valid tokens with equal occurrence vectors below one element."""
+    page = "<html><body><div class=a><ul>{}</ul></div><div class=b><p>x{}</p><hr><p>y</p></div>{}</body></html>"
+    htmls = [page.format("<li>k<li>k", i, "<section><i>z</i></section>" * (i % 5 != 0) + "<em>q</em>" * i) for i in range(10)]
+    found = h.templates(spark.createDataFrame([(i, "http://h.example/", x, "") for i, x in enumerate(htmls)], SCHEMA).repartition(4)).collect()[0]
+    vectors, around = {0: [1] * 10}, {0: 0}
+    for i, x in enumerate(htmls):
+        for kind, path, text, _, _, _, up in h.nodes(x):
+            token = h._hash(kind, path) if kind != "text" else h._hash(kind, path, h.clean(text))
+            vectors.setdefault(token, [0] * 10)[i] += 1
+            around[token] = h._hash("open", up) if up else 0
+    valid = {t: tuple(v) for t, v in vectors.items() if sum(map(bool, v)) >= 5 and len(set(v) - {0}) == 1}
+
+    def slot(t):
+        up = around[t]
+        while up and valid.get(up, valid[t]) == valid[t]:
+            up = around[up]
+        return up
+
+    want = {}
+    for t in set(valid) - {0}:
+        want.setdefault((valid[t], 0 if valid[t] == valid[0] else slot(t)), set()).add(t)
+    assert found.n_pages == 10 and len(want) >= 4
+    assert {frozenset(c.tokens) for c in found.classes} == {frozenset(g) for g in want.values()}
+    assert {frozenset(c.tokens): c.slot for c in found.classes} == {frozenset(g): at for (_, at), g in want.items()}
+    opened = {h._hash(k, p) for x in htmls for k, p, *_ in h.nodes(x) if k == "open"}
+    assert {s.element for s in found.slots} == opened & set(valid)
