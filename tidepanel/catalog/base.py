@@ -35,14 +35,15 @@ RANKED_FACTORS = (*features.LOW_VOLATILITY, "turnover", "ROC60")
 def weekly_bars(lineitem: DataFrame) -> DataFrame:
     """Sales lines to weekly bars; first and last price by a total order."""
     # Day, order and line in one long: a fixed-width buffer, so that the aggregation hashes.
-    day = F.datediff("l_shipdate", F.lit("1970-01-01")) + (1 << 16)
+    shipped = F.col("l_shipdate").cast("date")
+    day = F.datediff(shipped, F.lit("1970-01-01")) + (1 << 16)
     key, line = F.col("l_orderkey"), F.col("l_linenumber")
     fits = day.between(0, (1 << 17) - 1) & key.between(0, (1 << 42) - 1) & line.between(0, 15)
     packed = (day.cast("long") * (1 << 42) + key.cast("long")) * 16 + line.cast("long")
     order = F.when(fits, packed).otherwise(F.raise_error(F.lit("a sales line doesn't fit the packed order")).cast("long"))
     price = F.col("l_extendedprice")
     grouped = lineitem.groupBy(
-        "l_suppkey", F.date_trunc("week", "l_shipdate").cast("date").alias("trade_date")
+        "l_suppkey", F.date_sub(F.next_day(shipped, "MON"), 7).alias("trade_date")
     ).agg(
         F.min_by(price, order).alias("open"),
         F.max_by(price, order).alias("close"),
@@ -127,9 +128,11 @@ class Tables:
             .where((F.col("_first") == 1) & (F.col("pos") >= SNAPSHOT_WEEKS - 1))
             .select("trade_date")
         )
-        summed = dense.withColumn("trailing", F.round(F.sum("amount").over(recent), 4))
+        summed = dense.withColumn("_sum", F.sum("amount").over(recent))
+        starting = attach(summed, month_starts, ["trade_date"], self.extent.dates, "inner")
         ranked = row_positions(
-            attach(summed, month_starts, ["trade_date"], self.extent.dates, "inner"),
+            # Rounding is dear, so only the months' first weeks are rounded.
+            starting.withColumn("trailing", F.round("_sum", 4)),
             ["trade_date"],
             [F.desc("trailing"), F.col("code")],
             self.extent,

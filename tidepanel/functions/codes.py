@@ -22,8 +22,13 @@ def normalize_ts_code(value: Column) -> Column:
     numeric = zfill(F.regexp_replace(text, r"\.0+$", ""))
     digits = zfill(F.regexp_replace(text, r"[^0-9]", ""))
     qualified = F.concat(digits, F.lit("."), exchange_of(digits))
+    # Plain digits, the usual case, need no pattern.
+    plain = F.length(text).between(1, 6) & (F.translate(text, "0123456789", "") == "")
+    padded = F.lpad(text, 6, "0")
+    shanghai = F.substring(padded, 1, 1).isin("5", "6", "9")
     return (
-        F.when(
+        F.when(plain, F.concat(padded, F.when(shanghai, F.lit(".SH")).otherwise(F.lit(".SZ"))))
+        .when(
             text.rlike(r"^\d{1,6}(\.0+)?$"),
             F.concat(numeric, F.lit("."), exchange_of(numeric)),
         )

@@ -88,7 +88,9 @@ def wilder_atr(df: DataFrame, out: str = "atr_14") -> DataFrame:
     """
     decay = (ATR_DAYS - 1) / ATR_DAYS
     step = F.col("_step")
-    seed = F.avg("_tr").over(last(ATR_DAYS))
+    # Read at one step only, where the rows so far, without the first, are the last 14.
+    so_far = by_code().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seed = F.avg(F.when(step > 0, F.col("_tr"))).over(so_far)
     term = (
         F.when(step > ATR_DAYS, F.col("_tr") / F.lit(float(ATR_DAYS)))
         .when(step == ATR_DAYS, seed)

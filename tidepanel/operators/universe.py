@@ -269,13 +269,14 @@ def build_membership(
 ) -> Membership:
     """Replay the events from the anchor snapshot and check every later one.
 
-    The daily relation and the findings are written once, since the checks,
-    the intervals and every later step read them.
+    The cleaned inputs, the daily relation and the findings are written once, since
+    the checks, the intervals and every later step read them.
     ``findings`` and ``breaks`` are exceptions only; a failing audit is meant
     to stop the build.
     """
-    snaps = clean_snapshots(snapshots, arrival)
-    changes = clean_events(events)
+    # Checks, spans, weights and counts read both, so they are cleaned once.
+    snaps = stage(clean_snapshots(snapshots, arrival), "clean-snapshots")
+    changes = stage(clean_events(events), "clean-events")
     research = (
         calendar.where(
             F.col("trade_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
