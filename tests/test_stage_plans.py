@@ -1,5 +1,6 @@
 """Plans of the steps up to the scores: what is shuffled and computed how often."""
 
+import re
 from datetime import date, timedelta
 
 import pytest
@@ -9,6 +10,7 @@ from tidepanel.catalog.base import weekly_bars
 from tidepanel.functions.codes import normalize_ts_code
 from tidepanel.operators import calendar as cal
 from tidepanel.operators import features as ft
+from tidepanel.operators import panel as pn
 from tidepanel.operators import universe as un
 
 DAYS = [date(2024, 1, 1) + timedelta(days=i) for i in range(20)]
@@ -19,6 +21,46 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_marking_members_keeps_the_panel_dealt_by_code(spark, no_broadcast):
+    panel = spark.createDataFrame([(f"{c:06d}", d, False) for c in range(3) for d in DAYS], ROWS)
+    dealt = panel.withColumn("n", F.row_number().over(pn.by_code()))
+    members = spark.createDataFrame([("000001", DAYS[3])], "code string, trade_date date")
+    marked = pn.mark_members(dealt, members)
+    after = marked.withColumn("m", F.lag("is_member").over(pn.by_code()))
+    assert not re.search(r"hashpartitioning\(code#\d+, trade_date", plan(after))
+    assert [(r.code, r.trade_date) for r in marked.where("is_member").collect()] == [("000001", DAYS[3])]
+
+
+def test_marking_members_with_repeated_and_missing_keys(spark, no_broadcast):
+    a, b, c = DAYS[:3]
+    rows = [("000001", a, False), ("000001", a, True), ("000001", b, False), ("000001", None, False), ("000002", a, None), (None, a, False)]
+    members = spark.createDataFrame(
+        [("1", a), ("000001", a), ("000001", None), ("000002", a), ("000002", c), (None, a)], "code string, trade_date date"
+    )
+    got = pn.mark_members(spark.createDataFrame(rows, ROWS), members)
+    assert got.columns == ["code", "trade_date", "is_suspended", "is_member", "is_tradable"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(
+        [
+            ("000001", a, False, True, True),
+            ("000001", a, True, True, False),
+            ("000001", b, False, False, False),
+            ("000001", None, False, False, False),
+            ("000002", a, None, True, None),
+            (None, a, False, False, False),
+        ],
+        key=repr,
+    )
+
+
 def test_membership_cleans_its_inputs_once(spark):
     seen = spark.sparkContext.accumulator(0)
 

@@ -94,16 +94,25 @@ def densify(adjusted: DataFrame, calendar: DataFrame) -> DataFrame:
 
 
 def mark_members(panel: DataFrame, members: DataFrame) -> DataFrame:
-    """Flags from the daily membership relation; tradable = member, not suspended."""
-    keys = members.select(
-        zfill(F.col("code").cast("string")).alias("code"),
-        F.col("trade_date").cast("date").alias("trade_date"),
-    ).distinct().withColumn("_member", F.lit(True))
+    """Flags from the daily membership relation; tradable = member, not suspended.
+
+    A code's member days, as many as the calendar has at most, are one row. So the join
+    goes by the code alone, as the windows around it, and the panel is not shuffled for it.
+    """
+    days = (
+        members.select(
+            zfill(F.col("code").cast("string")).alias("code"),
+            F.col("trade_date").cast("date").alias("_day"),
+        )
+        .groupBy("code")
+        .agg(F.collect_set("_day").alias("_member_days"))
+    )
+    others = [c for c in panel.columns if c not in ("code", "trade_date")]
+    is_member = F.coalesce(F.array_contains("_member_days", F.col("trade_date")), F.lit(False))
     return (
-        panel.join(keys, ["code", "trade_date"], "left")
-        .withColumn("is_member", F.col("_member").isNotNull())
+        panel.join(days, "code", "left")
+        .select("code", "trade_date", *others, is_member.alias("is_member"))
         .withColumn("is_tradable", F.col("is_member") & ~F.col("is_suspended"))
-        .drop("_member")
     )
 
 
