@@ -1,5 +1,5 @@
 import random
-from datetime import date
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,3 +113,30 @@ def test_overrides_follow_their_positions(spark, calendar):
     assert nt.delisting_overrides(notices, over.limit(0), calendar).first().override is None
     with pytest.raises(DataContractError):
         nt.delisting_overrides(notices, over.withColumn("listed_code", F.lit("")), calendar)
+
+
+def test_tables_are_read_once_and_no_expression_is_interpreted(spark):
+    rows = [("a", date(2025, 1, 2), "<table><tr><td rowspan=2>调出</td><td>x</td><td>调入</td><td>y</td></tr></table>")]
+    found = nt.html_table_events(spark.createDataFrame(rows, "announcement_id string, effective_date date, content string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "lambda" not in plan and "regexp_extract_all" not in plan
+
+
+def test_classes_and_cases_are_those_of_ascii():
+    row = "<tr><td>调出　</td><td>x</td><td>调入</td><td>y</td></tr><TR><TD>１２３４５６ 000001</TD><td>x</td><td>\t600001 </td></TR>"
+    assert nt._content_codes(f"<TABLE>{row}</TABLE>") == [{"code": "000001", "action": "remove"}, {"code": "600001", "action": "add"}]
+    assert nt._content_codes(f"<table>{row.replace('<tr>', '<tr ſ>')}") == []  # no end
+    wide = f"<td colspan={'0' * 5000}3>000001</td><td rowspan={'9' * 5000}>x</td>"
+    assert [line[:4] for line in nt._table_rows(f"<table><tr>{wide}</tr></table>")][0] == ["000001"] * 3 + ["x"]
+
+
+def test_notices_of_a_small_file_are_dealt_over_the_cores(spark, tmp_path):
+    from tidepanel.catalog.base import Tables
+    from tidepanel.catalog.ingest_queries import notices
+
+    events = [(i, datetime(2024, 1, 1 + i % 28), i % 50, "view", 1.0, "{}") for i in range(400)]
+    df = spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    made = notices(Tables(spark, str(tmp_path)))
+    assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(int(r.announcement_id) for r in made.select("announcement_id").collect()) == list(range(400))

@@ -488,7 +488,7 @@ def notices(t: Tables):
         F.lit("<table class=\"x\"><tr><td>调出代码</td><td>名称</td><td>调入代码</td><td>名称</td></tr><tr><td> "),
         gone, F.lit("</td><td>甲</td><td><span>"), come, F.lit("</span></td><td>乙</td></tr></table>"),
     )
-    return t.read("events").select(
+    return t.dealt("events").select(
         F.col("event_id").cast("string").alias("announcement_id"),
         F.when(F.col("event_type") == "click", F.lit(None))
         .when(F.col("event_type") == "error", F.lit("news"))

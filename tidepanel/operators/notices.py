@@ -1,13 +1,16 @@
 """Membership change events out of announcements.
 
-Every notice is parsed by expressions over its whole text, so notices spread
-over tasks row by row and no parser runs outside Spark.
+Every notice is parsed over its whole text, so notices spread over tasks row by
+row. Tables are read by Arrow functions: nested expressions of Spark over rows, cells
+and spans are interpreted and take some milliseconds a notice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +29,7 @@ INDEX_CODES = ("000300", "399300")
 
 # The spans that HTML allows at most.
 MOST_ROWS, MOST_COLUMNS = 65_534, 1_000
-LINE = "array<struct<text:string,left:int>>"
+CODES = "array<struct<code:string,action:string>>"
 
 OVERRIDE_SCHEMA = "listed_code string, day date, remove string, add string, source string"
 
@@ -58,107 +61,115 @@ def in_reach(notices: DataFrame, start, end) -> DataFrame:
     return notices.where(F.col("effective_date").between(F.add_months(start, -3), end))
 
 
-def _span(cell: Column, name: str, most: int) -> Column:
-    """A span attribute of a cell's opening tag; 1 where there is none or no number."""
-    told = F.regexp_extract(cell, rf"(?is)^<[^>]*?\s{name}\s*=\s*[\"']?\s*(\d+)", 1)
-    # least() passes over null: digits beyond a long are over the limit as well.
-    return F.when(told == "", F.lit(1)).otherwise(F.least(told.try_cast("bigint"), F.lit(most)).cast("int"))
-
-
-def _cells(row: Column) -> Column:
-    """Text of each cell, the rows it reaches down and the columns it takes."""
-    found = F.regexp_extract_all(row, F.lit(r"(?is)<t[dh](?:\s[^>]*)?>.*?</t[dh]>"), F.lit(0))
-    return F.transform(
-        found,
-        lambda c: F.struct(
-            F.trim(F.regexp_replace(c, r"<[^>]+>", " ")).alias("text"),
-            _span(c, "rowspan", MOST_ROWS).alias("down"),
-            _span(c, "colspan", MOST_COLUMNS).alias("across"),
-        ),
-    )
-
-
-def _place(claims: Column):
-    """Fold step within a row: claims from above take their columns as soon as a cell
-    would start at or behind them, then the cell takes its own."""
-
-    def step(acc: Column, cell: Column) -> Column:
-        width = F.size(acc["line"])
-        open_ = F.slice(claims, acc["used"] + 1, F.size(claims))
-        due = F.transform(open_, lambda c, i: c["col"] <= width + i)
-        stop = F.array_position(due, False).cast("int")
-        n = F.when(stop > 0, stop - 1).otherwise(F.size(open_))
-        own = F.struct(cell["text"].alias("text"), (cell["down"] - 1).alias("left"))
-        return F.struct(
-            F.concat(acc["line"], _claimed(F.slice(open_, 1, n)), F.array_repeat(own, cell["across"])).alias("line"),
-            (acc["used"] + n).alias("used"),
-        )
-
-    return step
-
-
-def _claimed(claims: Column) -> Column:
-    return F.transform(claims, lambda c: F.struct(c["text"].alias("text"), (c["left"] - 1).alias("left")))
-
-
-def _row(acc: Column, cells: Column) -> Column:
-    """Fold step over rows: ``line`` is the last row with what each column leaves below."""
-    numbered = F.transform(
-        acc["line"], lambda x, i: F.struct(i.alias("col"), x["text"].alias("text"), x["left"].alias("left"))
-    )
-    claims = F.filter(numbered, lambda c: c["left"] > 0)
-    start = F.struct(F.array().cast(LINE).alias("line"), F.lit(0).alias("used"))
-    line = F.aggregate(
-        cells,
-        start,
-        _place(claims),
-        lambda done: F.concat(done["line"], _claimed(F.slice(claims, done["used"] + 1, F.size(claims)))),
-    )
-    return F.struct(F.concat(acc["grid"], F.array(line["text"])).alias("grid"), line.alias("line"))
+# Java's expressions know ASCII alone in classes and cases, so these do as well.
+_FLAGS = re.IGNORECASE | re.DOTALL | re.ASCII
+_TABLE, _ROW, _TAG, _CODE = (
+    re.compile(x, _FLAGS) for x in (r"<table.*?</table>", r"<tr[^>]*>.*?</tr>", r"<[^>]+>", tx.SIX_DIGITS)
+)
+_CELL, _DATA, _SPANNED = (
+    re.compile(x, _FLAGS) for x in (r"<t[dh](?:\s[^>]*)?>.*?</t[dh]>", r"<td", r"\s(?:row|col)span\s*=")
+)
+_DOWN, _ACROSS = (
+    re.compile(rf"<[^>]*?\s{name}\s*=\s*[\"']?\s*(\d+)", _FLAGS) for name in ("rowspan", "colspan")
+)
 
 
-def _below(line: Column) -> Column:
-    """Rows that only claims make, beneath the last row of the table."""
-    deepest = F.coalesce(F.array_max(line["left"]), F.lit(0))
-    rows = F.when(deepest > 0, F.sequence(F.lit(1), deepest)).otherwise(F.array().cast("array<int>"))
-    return F.transform(rows, lambda k: F.transform(F.filter(line, lambda x: x["left"] >= k), lambda x: x["text"]))
+def _span(cell: str, pattern: re.Pattern, most: int) -> int:
+    """A span attribute of a cell's opening tag; 1 where there is none or no number."""
+    told = pattern.match(cell)
+    if told is None:
+        return 1
+    digits = told[1].lstrip("0")
+    return most if len(digits) > 9 else min(int(digits or 0), most)
+
+
+def _text(cell: str) -> str:
+    return _TAG.sub(" ", cell).strip(" ")
+
+
+def _grid(rows: Iterable[Iterable[tuple[str, int, int]]]) -> Iterator[list[str]]:
+    """Rows of texts of cells (text, rows it reaches down, columns it takes).
+
+    A claim from above takes its column as soon as a cell would start at or behind it,
+    then the cell takes its own. Rows that only claims make stand beneath the last."""
+    claims: list[tuple[int, str, int]] = []
+    for cells in rows:
+        line, below, used = [], [], 0
+
+        def claim() -> None:
+            _, text, left = claims[used]
+            if left > 1:
+                below.append((len(line), text, left - 1))
+            line.append(text)
+
+        for text, down, across in cells:
+            while used < len(claims) and claims[used][0] <= len(line):
+                claim()
+                used += 1
+            if down > 1:
+                below += [(len(line) + i, text, down - 1) for i in range(across)]
+            line += [text] * across
+        while used < len(claims):
+            claim()
+            used += 1
+        claims = below
+        yield line
+    while claims:
+        yield [text for _, text, _ in claims]
+        claims = [(at, text, left - 1) for at, text, left in claims if left > 1]
 
 
 def spanned_grid(rows: Column) -> Column:
-    """Texts by row and column of cells ``array<array<struct<text, down, across>>>``.
+    """Texts by row and column of cells ``array<array<struct<text, down, across>>>``,
+    spans repeated in every place."""
+
+    @F.arrow_udf("array<array<string>>")
+    def grids(tables: pa.Array) -> pa.Array:
+        cells = ([[(c["text"], c["down"], c["across"]) for c in row] for row in t] for t in tables.to_pylist())
+        return pa.array([list(_grid(t)) for t in cells], pa.list_(pa.list_(pa.string())))
 
-    A cell that reaches down claims its columns of the rows below; each row is folded
-    cell by cell over the claims from above. Spans stand repeated in every place."""
-    start = F.struct(F.array().cast("array<array<string>>").alias("grid"), F.array().cast(LINE).alias("line"))
-    return F.aggregate(rows, start, _row, lambda done: F.concat(done["grid"], _below(done["line"])))
+    return grids(rows)
 
 
-def _table_cells(table: Column) -> Column:
+def _table_rows(table: str) -> Iterator[list[str]]:
     """Rows of cell texts. Rows of header cells only name columns and are left out."""
-    rows = F.regexp_extract_all(table, F.lit(r"(?is)<tr[^>]*>.*?</tr>"), F.lit(0))
-    cells = F.transform(F.filter(rows, lambda r: r.rlike(r"(?i)<td")), _cells)
-    plain = F.transform(cells, lambda r: F.transform(r, lambda c: c["text"]))
-    return F.when(table.rlike(r"(?i)\s(?:row|col)span\s*="), spanned_grid(cells)).otherwise(plain)
+    rows = (_CELL.findall(r) for r in _ROW.findall(table) if _DATA.search(r))
+    if not _SPANNED.search(table):
+        return ([_text(c) for c in r] for r in rows)
+    return _grid([(_text(c), _span(c, _DOWN, MOST_ROWS), _span(c, _ACROSS, MOST_COLUMNS)) for c in r] for r in rows)
+
+
+def _table_codes(table: str) -> list[dict[str, str]]:
+    """Code and action of each change in one table; none unless it is a change table."""
+    width, words, found = 0, set(), {0: [], 2: []}
+    for line in _table_rows(table):
+        width = max(width, len(line))
+        words.update(w for w in (ADDED, REMOVED) if any(w in text for text in line))
+        for at, codes in found.items():
+            code = _CODE.search(line[at]) if at < len(line) else None
+            if code:
+                codes.append(code[1])
+    if width < 4 or len(words) < 2:
+        return []
+    return [{"code": c, "action": a} for at, a in ((0, "remove"), (2, "add")) for c in found[at]]
+
+
+def _content_codes(content: str) -> list[dict[str, str]]:
+    # Wording that a tag cuts in two counts nowhere, so plain search rules tables out.
+    tables = (t for t in _TABLE.findall(content) if ADDED in t and REMOVED in t)
+    return next(filter(None, map(_table_codes, tables)), [])
 
 
-def _table_codes(data: Column) -> Column:
-    """(code, action) pairs of one table; empty unless it is a change table."""
-    width = F.array_max(F.transform(data, lambda r: F.size(r)))
-    words = F.array_join(F.flatten(data), " ")
-    wanted = (width >= 4) & F.contains(words, F.lit(REMOVED)) & F.contains(words, F.lit(ADDED))
+def change_codes(content: Column) -> Column:
+    """Codes and actions of the first table that lists removals and additions, each
+    notice read once and row by row, so a table is never held as a grid."""
 
-    def column(index: int, action: str) -> Column:
-        found = F.transform(
-            data, lambda r: F.regexp_extract(F.coalesce(F.get(r, F.lit(index)), F.lit("")), tx.SIX_DIGITS, 1)
-        )
-        return F.transform(
-            F.filter(found, lambda c: c != ""),
-            lambda c: F.struct(c.alias("code"), F.lit(action).alias("action")),
-        )
+    @F.arrow_udf(CODES)
+    def codes(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("code", pa.string()), ("action", pa.string())]))
+        return pa.array([None if x is None else _content_codes(x) for x in texts.to_pylist()], kind)
 
-    return F.when(wanted, F.concat(column(0, "remove"), column(2, "add"))).otherwise(
-        F.slice(column(0, "remove"), 1, 0)
-    )
+    return codes(content)
 
 
 def _as_events(found: DataFrame, source: str) -> DataFrame:
@@ -173,14 +184,7 @@ def _as_events(found: DataFrame, source: str) -> DataFrame:
 
 def html_table_events(notices: DataFrame, source: str = "announcement_id") -> DataFrame:
     """Codes of the first table that lists removals and additions."""
-    tables = F.regexp_extract_all("content", F.lit(r"(?is)<table.*?</table>"), F.lit(0))
-    # Wording that a tag cuts in two counts nowhere, so plain search rules tables out.
-    tables = F.filter(tables, lambda t: F.contains(t, F.lit(ADDED)) & F.contains(t, F.lit(REMOVED)))
-    # The cells are a column of their own, so they are taken apart only once.
-    read = notices.withColumn("_cells", F.transform(tables, _table_cells))
-    hits = F.filter(F.transform("_cells", _table_codes), lambda t: F.size(t) > 0)
-    first = read.withColumn("_hit", F.get(hits, F.lit(0)))
-    return _as_events(first.withColumn("e", F.explode("_hit")), source)
+    return _as_events(notices.withColumn("e", F.explode(change_codes(F.col("content")))), source)
 
 
 def text_section_events(notices: DataFrame, body: str = "body", source: str = "announcement_id") -> DataFrame:
