@@ -140,3 +140,23 @@ def test_notices_of_a_small_file_are_dealt_over_the_cores(spark, tmp_path):
     made = notices(Tables(spark, str(tmp_path)))
     assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert sorted(int(r.announcement_id) for r in made.select("announcement_id").collect()) == list(range(400))
+
+
+def test_texts_are_read_once_for_events_and_errors(spark, calendar):
+    table = "<table><tr><td>调出</td><td>x</td><td>调入</td><td>y</td></tr><tr><td>000001</td><td>x</td><td>600001</td><td>y</td></tr></table>"
+    texts = {
+        "own": f"于2025年1月3日生效{table}", "bare": "于2025年1月3日生效", "listed": "自退市日起 000007。", "both": f"自退市日起 000007。{table}",
+        "unlisted": f"自退市日起 777777。{table}", "late": f"于2025年2月3日生效{table}", None: f"于2025年1月3日生效{table}", "no": None,
+    }
+    rows = [*texts.items(), ("own", "于2025年1月6日生效")]
+    over = spark.createDataFrame([("000007", date(2025, 1, 6), "000007.SZ", "600007.SH", "s")], nt.OVERRIDE_SCHEMA)
+    notices = spark.createDataFrame(rows, "announcement_id string, content string")
+    events, unread = nt.announcement_events(notices, calendar, date(2025, 1, 1), date(2025, 1, 31), over)
+    plan = unread._jdf.queryExecution().executedPlan().toString() + events._jdf.queryExecution().executedPlan().toString()
+    assert "生效" not in plan and "ArrowEvalPython" not in plan  # neither dates nor tables are looked for again
+    named = lambda rows: sorted([tuple(x or "" for x in r) for r in rows])
+    assert named(events.select("announcement_id", "con_code").collect()) == [
+        ("", "000001.SZ"), ("", "600001.SH"), ("both", "000001.SZ"), ("both", "600001.SH"), ("listed", "000007.SZ"), ("listed", "600007.SH"), ("own", "000001.SZ"), ("own", "600001.SH"),
+    ]
+    # A null id meets none of the events.
+    assert named(unread.collect()) == [("", "no codes"), ("bare", "no codes"), ("late", "no effective date"), ("no", "no effective date"), ("unlisted", "no effective date")]

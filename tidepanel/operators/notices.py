@@ -55,10 +55,19 @@ def effective_dates(notices: DataFrame, calendar: DataFrame) -> DataFrame:
     return snap_to_trading_day(read, "stated_date", "after_close", calendar)
 
 
+def _reached(start, end) -> Column:
+    start, end = F.lit(start).cast("date"), F.lit(end).cast("date")
+    return F.col("effective_date").between(F.add_months(start, -3), end)
+
+
 def in_reach(notices: DataFrame, start, end) -> DataFrame:
     """Effective no earlier than three months before the range, nor after it."""
-    start, end = F.lit(start).cast("date"), F.lit(end).cast("date")
-    return notices.where(F.col("effective_date").between(F.add_months(start, -3), end))
+    return notices.where(_reached(start, end))
+
+
+def _delisted() -> Column:
+    """Without a date of its own, and referring to a delisting day."""
+    return F.coalesce(F.col("effective_date").isNull() & F.contains("plain", F.lit(tx.DELISTING)), F.lit(False))
 
 
 # Java's expressions know ASCII alone in classes and cases, so these do as well.
@@ -261,7 +270,7 @@ def delisting_overrides(
     if listed.count() <= BROADCAST_ROWS:
         listed = F.broadcast(listed)
 
-    applies = F.coalesce(F.col("effective_date").isNull() & F.contains("plain", F.lit(tx.DELISTING)), F.lit(False))
+    applies = _delisted()
     # Equal texts share their answer, so texts are told apart by hash and need no key.
     asked = notices.where(applies).withColumn("_text", F.sha2("plain", 256))
     found = asked.select("_text", F.explode(_listed_in(F.col("plain"), sizes, digits)).alias("_code")).join(listed, "_code")
@@ -306,13 +315,24 @@ def announcement_events(
     """All events of the notices, and the notices that could not be read.
 
     Attachment events win over the notice's own table, which wins over an
-    override.
+    override. Texts are read once: dates and codes are staged, and the plain text only
+    of notices that may have an override.
     """
-    dated = effective_dates(notices, calendar)
+    read = effective_dates(notices, calendar)
+    wanted = _reached(start, end) | _delisted()
+    dated = stage(
+        read.select(
+            "announcement_id",
+            "effective_date",
+            F.when(_delisted(), F.col("plain")).alias("plain"),
+            change_codes(F.when(wanted, F.col("content"))).alias("codes"),
+        ),
+        "notices",
+    )
     if overrides is not None:
         dated = delisting_overrides(dated, overrides, calendar)
     usable = in_reach(dated, start, end)
-    levels = [*attachments, html_table_events(usable)]
+    levels = [*attachments, _as_events(usable.withColumn("e", F.explode("codes")), "announcement_id")]
     if overrides is not None:
         levels.append(override_events(usable))
     events = None
