@@ -195,3 +195,51 @@ def test_memory_of_a_group_is_bounded(monkeypatch):
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert 3 * peaks[0] < peaks[1], peaks
+
+
+def held_out_ids():
+    return (i for i in range(10_000, 90_000) if zlib.crc32(str(i).encode()) % 7 == 2)
+
+
+def test_words_of_equal_remainders_are_contexts_of_their_own(spark):
+    seen, pair = {}, None
+    for i in range(3000):
+        text = np.frombuffer(f"word{i}".encode(), np.uint8)
+        at = int(py.w.slice_hashes(text, np.array([0]), np.array([len(text)]))[0] % np.uint64(py.CONTEXTS))
+        if at in seen:
+            pair = seen[at], f"word{i}"
+            break
+        seen[at] = f"word{i}"
+    x, y = pair
+    learnt = [i for i in range(300) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = [(i, f"{x} p" if i % 2 else f"{y} q", "") for i in learnt]
+    a, b = (i for i, _ in zip(held_out_ids(), range(2)))
+    rows += [(a, f"{x} p", ""), (b, f"{x} q", "")]
+    got = {r.doc_id: r.score for r in py.score(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[a] > got[b] + 1, (got[a], got[b])
+
+
+def test_scores_equal_brute_force_where_no_draw_is_free(spark):
+    """A text of words that stand once: every cell, context and word has one table."""
+    words = [f"u{i}" for i in range(400)]
+    rng = random.Random(2)
+    probes = [" ".join(rng.choice(words + ["new", "other"]) if rng.random() < 0.5 else words[rng.randrange(399) + 1] for _ in range(rng.randint(0, 8))) for _ in range(40)]
+    probes += [" ".join(words[i : i + 5]) for i in range(0, 390, 13)] + [" ".join(words[-3:]), words[0]]
+    held = dict(zip(held_out_ids(), probes))
+    rows = [(4, " ".join(words), "")] + [(i, t, "") for i, t in held.items()]
+    assert zlib.crc32(b"4") % 7 != 2
+    v, d = 401, 0.95  # with the end of the text
+    after = {None: words[0]} | dict(zip(words, [*words[1:], "end"]))
+    unknown = (1 + d * v) / (v + 1) / (1 + v)
+
+    def log_p(context, word):
+        parent = unknown + (1 - d) / (1 + v) * (word in words or word == "end")
+        if context not in after:
+            return math.log10(parent)
+        return math.log10(((1 - d) * (after[context] == word) + (1 + d) * parent) / 2)
+
+    for size in (py.GROUP, 500, 20):  # in the last, all words are frequent
+        got = {r.doc_id: r.score for r in py.score(spark.createDataFrame(rows, SCHEMA).repartition(3), group_bytes=size).collect()}
+        for i, t in held.items():
+            chain = [None, *t.split(), "end"]
+            assert abs(got[i] - sum(map(log_p, chain, chain[1:]))) < 1e-9, (size, t)
